@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import relational, retrieval
+
+QUERIES = retrieval.QUERIES | relational.QUERIES
+ORACLES = retrieval.ORACLES | relational.ORACLES
