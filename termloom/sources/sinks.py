@@ -75,7 +75,7 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-LIST_MARK = "ICDTW1:"  # fixed value: heads an exported list of codes
+LIST_MARK = "CODELIST1:"  # heads an exported list of codes
 
 
 def export_list(codes: DataFrame, order: str) -> DataFrame:
