@@ -2,11 +2,11 @@
 
 1. Heuristic labellers vote on every document (1 against, 0 for, -1 abstain) in
    one pass: symbol tails, shouting, bare marks, stutter, bangs, function words,
-   variety; for abuse two word lists and their density. Where a ``labels`` table
-   has judgements they are one more labeller of each kind.
+   variety, punctuation, plain word ends; for abuse two word lists and their density.
 2. Vote patterns are counted over all documents (3**labellers patterns at most).
    Expectation-maximisation on the counts estimates each labeller's behaviour on
-   either class and the posterior of each pattern.
+   either class and the posterior of each pattern. Where a ``labels`` table has
+   judgements, they fix the class of their rows in it.
 3. Posterior labels train a hashed linear scorer (logistic): words, word heads,
    word shapes, and the votes themselves. It is fitted on ``SAMPLE`` rows chosen
    by a hash of doc_id, judged rows first: a documented bound, equal at any size.
@@ -28,8 +28,11 @@ from .common import LOWER, U, groups, mix, prepare, read, span_hashes, table, te
 
 SAMPLE = 8_000  # rows the scorer is fitted on
 DIMS = 1 << 18
-JUNK = ("symbols", "shouting", "marks", "stutter", "bangs", "function_words", "variety", "judged")
-ABUSE = ("persons", "contempt", "density", "judged")
+JUNK = ("symbols", "shouting", "marks", "stutter", "bangs", "function_words", "variety", "punctuation", "plain_ends")
+ABUSE = ("persons", "contempt", "density")
+FALSE_ALARM = 0.01  # a labeller votes against a good document at most this often
+LEAST_DF = 3  # sample rows a hashed feature must occur in
+TELLING = 3.0  # standard deviations by which it must go with a class
 
 FUNCTION_WORDS = (
     "the of and to in a is that for it on was with be as by are this from at have or an not "
@@ -46,7 +49,7 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
-MARK = ~ALNUM
+PLAIN_ENDS = np.frombuffer(b".,;:?!", np.uint8)
 
 
 def _hash_list(terms: list[str]) -> np.ndarray:
@@ -106,6 +109,8 @@ class Features:
         tail = self.ends - e
         last = data[self.ends - 1] if n else np.zeros(0, np.uint8)
         self.tail = has & (tail >= 3)
+        self.marks = self.size - here
+        self.plain = has & ((tail == 0) | ((tail == 1) & np.isin(last, PLAIN_ENDS)))
         self.bang = (tail >= 2) & (last == 33)
         self.same = np.zeros(n, bool)
         self.same[1:] = self.whole[1:] == self.whole[:-1]
@@ -132,6 +137,7 @@ class Features:
         person, contempt = self.per_row(IS_PERSON(self.bare)), self.per_row(IS_CONTEMPT(self.bare))
         both = person + contempt
         variety = distinct / d
+        plain = np.where(n > 0, self.per_row(self.plain) / d, 1.0)
         return np.stack(
             [
                 two(self.per_row(self.tail) / d, 0.2, 0.02),
@@ -141,9 +147,11 @@ class Features:
                 two(self.per_row(self.bang) / d, 0.1, 0.01),
                 np.where(n < 20, -1, np.where(fun < 0.03, 1, np.where(fun > 0.1, 0, -1))),
                 np.where(n < 30, -1, np.where(variety < 0.15, 1, np.where(variety > 0.45, 0, -1))),
-                np.where(person > 0, 1, -1),
-                np.where(contempt > 0, 1, -1),
-                np.where(both / d >= 0.005, 1, -1),
+                np.where(n < 20, -1, two(self.per_row(self.marks) / np.maximum(self.per_row(self.size), 1), 0.12, 0.06)),
+                np.where(n < 20, -1, np.where(plain < 0.6, 1, np.where(plain > 0.9, 0, -1))),
+                (person > 0).astype(int),
+                (contempt > 0).astype(int),
+                (both / d >= 0.005).astype(int),
             ],
             axis=1,
         ).astype(np.int8)
@@ -170,33 +178,46 @@ def _vote(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(f.n), pa.array([x.tobytes() for x in v + 1], pa.binary())], ["doc_id", "n_words", "votes"])
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, capped: bool = False, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over vote patterns (m x k of -1, 0, 1): posterior of class 1 per pattern,
-    behaviour (class, labeller, vote + 1) and the class's share."""
-    m, k = patterns.shape
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)  # m x k x 3
-    post = np.where((patterns == 1).any(axis=1), 0.95, 0.02)
-    behaviour, share = np.zeros((2, k, 3)), 0.5
+    behaviour (class, labeller: the rate of votes against) and the class's share. Where ``known`` is 0
+    or 1 the class is given. An abstention says nothing of the class. ``capped``: while no class 0 is given, no labeller is
+    believed to vote against class 0 more often than FALSE_ALARM."""
+    said = np.stack([patterns == v for v in (0, 1)], axis=2).astype(float)  # m x k x 2
+    known = np.full(len(patterns), -1) if known is None else known
+    given = known >= 0
+    judged = counts[given & (known == 0)].sum() > 0
+    post = np.where(given, known, np.where((patterns == 1).any(axis=1), 0.95, 0.02)).astype(float)
+    behaviour, share = np.zeros((2, patterns.shape[1])), 0.5
     for _ in range(rounds):
         old = post
         for c, p in enumerate((1 - post, post)):
-            behaviour[c] = (np.einsum("i,ikv->kv", p * counts, onehot) + 0.1) / ((p * counts).sum() + 0.3)
+            seen = np.einsum("i,ikv->kv", p * counts, said)
+            behaviour[c] = (seen[:, 1] + 0.1) / (seen.sum(axis=1) + 0.2)
+        if capped and not judged:
+            behaviour[0] = np.minimum(behaviour[0], FALSE_ALARM)
         share = float(np.clip((post * counts).sum() / counts.sum(), 1e-4, 1 - 1e-4))
-        ll = np.einsum("ikv,ckv->ic", onehot, np.log(behaviour)) + np.log([1 - share, share])
-        post = 1 / (1 + np.exp(np.clip(ll[:, 0] - ll[:, 1], -500, 500)))
+        odds = np.log(np.stack([1 - behaviour, behaviour], axis=2))
+        ll = np.einsum("ikv,ckv->ic", said, odds) + np.log([1 - share, share])
+        post = np.where(given, known, 1 / (1 + np.exp(np.clip(ll[:, 0] - ll[:, 1], -500, 500))))
         if np.abs(post - old).max() < 1e-7:
             break
     return post, behaviour, share
 
 
-def fit_scorer(idx: np.ndarray, bound: np.ndarray, dense: np.ndarray, target: np.ndarray, rounds: int = 150, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_scorer(idx: np.ndarray, bound: np.ndarray, dense: np.ndarray, target: np.ndarray, rounds: int = 80, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression on hashed presence features plus dense columns, by
-    full-batch accelerated gradient steps scaled per feature."""
+    full-batch gradient steps scaled per feature; the rarer class weighs more."""
     rows = len(target)
-    used, local = np.unique(idx, return_inverse=True)
     owner = np.repeat(np.arange(rows), np.diff(bound))
-    pos = np.clip(target.mean(), 0.02, 0.98)
-    weight = np.where(target > 0.5, 0.5 / pos, 0.5 / (1 - pos)) / rows
+    pos = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    # only features that go with the class by more than chance: others are learnt by heart
+    n, up = np.bincount(idx, minlength=DIMS), np.bincount(idx, target[owner], DIMS)
+    telling = (n >= LEAST_DF) & (np.abs(up - n * pos) >= TELLING * np.sqrt(n * pos * (1 - pos) + 0.5))
+    some = telling[idx]
+    owner, (used, local) = owner[some], np.unique(idx[some], return_inverse=True)
+    weight = np.sqrt(np.where(target > 0.5, 0.5 / pos, 0.5 / (1 - pos)))
+    weight /= weight.sum()
     x = np.concatenate([dense, np.ones((rows, 1))], axis=1)
     w, d = np.zeros(len(used)), np.zeros(x.shape[1])
     gw, gd = np.full(len(used), 1e-8), np.full(x.shape[1], 1e-8)
@@ -231,7 +252,7 @@ def _score(models):
             v = f.votes()
             idx, bound = f.hashed()
             out = []
-            for (w, d), cols in zip(models.value, (slice(0, 7), slice(7, 10))):
+            for (w, d), cols in zip(models.value, (slice(0, len(JUNK)), slice(len(JUNK), None))):
                 c = np.concatenate([[0.0], np.cumsum(w[idx].astype(float))])
                 z = c[bound[1:]] - c[bound[:-1]] + dense_votes(v[:, cols]) @ d[:-1] + d[-1]
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -254,18 +275,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None):
         judged = labels.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("j"), F.max("toxic").cast("int").alias("a"))
         votes = votes.join(judged, "doc_id", "left").withColumns({"j": F.coalesce("j", F.lit(-1)), "a": F.coalesce("a", F.lit(-1))})
     votes = votes.where("n_words > 0")
-    counted = votes.groupBy("votes", "j", "a").agg(F.count("*").alias("n")).collect()  # 3**10 * 9 rows at most, far fewer occur
+    counted = votes.groupBy("votes", "j", "a").agg(F.count("*").alias("n")).collect()  # 3**12 * 9 rows at most, far fewer occur
     if not counted:
-        zero = (np.zeros(DIMS, np.float32), np.zeros(15, np.float32)), (np.zeros(DIMS, np.float32), np.full(7, -1, np.float32))
+        zero = tuple((np.zeros(DIMS, np.float32), np.full(2 * len(k) + 1, -1, np.float32)) for k in (JUNK, ABUSE))
         return zero, {}
-    raw = np.stack([np.concatenate([np.frombuffer(r["votes"], np.int8) - 1, [r["j"], r["a"]]]) for r in counted])
+    raw = np.stack([np.frombuffer(r["votes"], np.int8) - 1 for r in counted])
     n = np.array([r["n"] for r in counted], float)
-    views = {"junk": raw[:, [0, 1, 2, 3, 4, 5, 6, 10]], "abuse": raw[:, [7, 8, 9, 11]]}
+    views = {"junk": (slice(0, len(JUNK)), "j"), "abuse": (slice(len(JUNK), None), "a")}
     fits = {}
-    for name, v in views.items():
-        pats, inv = np.unique(v, axis=0, return_inverse=True)
-        inv = inv.ravel()
-        post, behaviour, share = fit_labels(pats, np.bincount(inv, n))
+    for name, (cols, judge) in views.items():
+        known = np.array([r[judge] for r in counted])
+        pats, inv = np.unique(np.column_stack([raw[:, cols], known]), axis=0, return_inverse=True)
+        post, behaviour, share = fit_labels(pats[:, :-1], np.bincount(inv.ravel(), n), pats[:, -1], capped=True)
         fits[name] = {"posterior": {tuple(p): float(x) for p, x in zip(pats.tolist(), post)}, "behaviour": behaviour, "share": share}
     sample = votes.where("doc_id is not null").orderBy((F.col("j") < 0), F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "votes", "j", "a")
     sample = sample.dropDuplicates(["doc_id"]).checkpoint()
@@ -273,13 +294,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None):
     feats = {r["doc_id"]: r["idx"] for r in got.mapInArrow(_features, "doc_id long, idx binary").collect()}  # SAMPLE rows at most
     rows = [r for r in sample.orderBy("doc_id").collect() if r["doc_id"] in feats]
     idx = [np.frombuffer(feats[r["doc_id"]], np.uint32) for r in rows]
-    bound = np.concatenate([[0], np.cumsum([len(x) for x in idx])])
-    flat = np.concatenate(idx).astype(np.int64)
     v = np.stack([np.frombuffer(r["votes"], np.int8) - 1 for r in rows])
     models = []
-    for name, cols, judge in (("junk", slice(0, 7), "j"), ("abuse", slice(7, 10), "a")):
-        target = np.array([fits[name]["posterior"][(*x[cols].tolist(), r[judge])] for x, r in zip(v, rows)])
-        models.append(fit_scorer(flat, bound, dense_votes(v[:, cols]), target))
+    for name, (cols, judge) in views.items():
+        given = np.array([r[judge] for r in rows])
+        # where there are judgements, a row that no one judged and no labeller voted
+        # against is no evidence: it may be of the kind the labellers miss
+        use = (given >= 0) | (v[:, cols] == 1).any(axis=1) if (given >= 0).any() else np.ones(len(rows), bool)
+        target = np.array([fits[name]["posterior"][(*x[cols].tolist(), g)] for x, g in zip(v[use], given[use].tolist())])
+        picked = [x for x, u in zip(idx, use) if u]
+        bound = np.concatenate([[0], np.cumsum([len(x) for x in picked])])
+        flat = np.concatenate([np.zeros(0, np.int64), *picked]).astype(np.int64)
+        models.append(fit_scorer(flat, bound, dense_votes(v[use][:, cols]), target))
     return tuple(models), fits
 
 
