@@ -34,8 +34,10 @@ from .tokens import encoder
 
 SIZE = 4096
 GRAIN = 16  # tokens of one length class in the linear program
-ROUNDS = 1500
-RATE = 0.35
+ROUNDS = 4000
+RATE = 0.05
+SHARE = 0.25  # of a configuration's greatest use that one round takes
+LARGE = 0.1  # large classes go first: they are the hard ones to place late
 
 
 def _pieces(path: str, size: int, end: int):
@@ -78,30 +80,33 @@ def _knapsack(price: np.ndarray, cap: int) -> list[int]:
 
 
 def configurations(demand: np.ndarray, cap: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], float]:
-    """Fractional counts of configurations covering demand[i] pieces of class i + 1."""
+    """Fractional counts of configurations that use up demand[i] pieces of class i + 1.
+
+    Each round prices a class by its size times its weight, finds the best
+    configuration by knapsack, and takes a share of the most it could be used. Weights
+    grow multiplicatively where a class lags behind the others, so all run out together."""
     need = demand.astype(float)
     live = need > 0
-    weight = np.where(live, 1.0, 0.0)
+    size = np.arange(1, len(need) + 1, dtype=float)
+    left, weight = need.copy(), live.astype(float)
+    total = float((need * size).sum())
     count: dict[tuple[int, ...], float] = defaultdict(float)
-    covered = np.zeros_like(need)
     for _ in range(rounds):
-        price = np.divide(weight, need, out=np.zeros_like(need), where=live)
-        config = _knapsack(price, cap)
+        if (left * size).sum() <= 1e-3 * total:
+            break
+        config = _knapsack(np.where(left > 1e-9, size * (1 + LARGE * size / cap) * weight, 0.0), cap)
         if not config:
             break
         uses = np.bincount(np.array(config) - 1, minlength=len(need))
         on = uses > 0
-        step = float((need[on] / uses[on]).min())
+        most = float((left[on] / uses[on]).min())
+        step = most if most < SHARE else max(SHARE, most * SHARE)
         count[tuple(sorted(config, reverse=True))] += step
-        covered += step * uses
-        weight *= np.exp(-rate * step * np.divide(uses, need, out=np.zeros_like(need), where=live))
-        weight /= weight.max()
-    if not count:
-        return {}
-    least = float((covered[live] / need[live]).min())
-    if least <= 0:
-        return dict(count)
-    return {c: x / least for c, x in count.items()}
+        left = np.maximum(left - step * uses, 0.0)
+        lag = np.divide(left, need, out=np.zeros_like(need), where=live)
+        weight[live] *= np.exp(rate * (lag[live] - float((left * size).sum()) / total))
+        weight[live] /= weight[live].mean()
+    return dict(count)
 
 
 def best_fit(open_: list[tuple[int, list[int], int]], left: Counter, size: int) -> list[tuple[list[int], int]]:
@@ -139,49 +144,54 @@ def best_fit(open_: list[tuple[int, list[int], int]], left: Counter, size: int)
 
 
 def plan(hist: dict[int, int], size: int = SIZE, grain: int = GRAIN) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences), covering hist exactly."""
-    by_class: dict[int, list[list[int]]] = defaultdict(list)
-    for length in sorted(hist, reverse=True):
-        by_class[-(-length // grain)].append([length, hist[length]])
-    classes = max(by_class, default=0)
-    demand = np.zeros(classes, np.int64)
-    for c, v in by_class.items():
-        demand[c - 1] = sum(n for _, n in v)
-    left = Counter(hist)
-    frac = configurations(demand, size // grain) if classes else {}
+    """(lengths of one sequence, how many such sequences), covering hist exactly.
+
+    A length's class is the nearest multiple of the grain. Rounding deals real lengths
+    to each configuration: the longest left of a class, and as its last piece the
+    longest that still fits, at most two grains shorter than the gap. What no
+    configuration takes that well is packed best fit, longest first."""
+    stock = np.zeros(size + 1, np.int64)
+    for length, n in hist.items():
+        stock[length] = n
+    klass = np.maximum(1, (np.arange(size + 1) + grain // 2) // grain)
+    demand = np.bincount(klass - 1, stock, size // grain)[: size // grain].astype(np.int64)
+    frac = configurations(demand, size // grain) if stock.any() else {}
+    dealt: list[tuple[list[int], int]] = []
     remain = demand.copy()
-    opened: list[tuple[int, list[int], int]] = []
-    for config, x in sorted(frac.items(), key=lambda p: -p[1]):
+
+    def longest(low: int, high: int) -> int:
+        """The longest length in stock from low to high, 0 if there is none."""
+        at = np.flatnonzero(stock[max(low, 1) : high + 1])
+        return max(low, 1) + int(at[-1]) if len(at) and high >= low else 0
+
+    for config, x in sorted(frac.items(), key=lambda p: (-p[1], p[0])):
         uses = Counter(config)
         m = min([int(x), *(int(remain[c - 1]) // k for c, k in uses.items())])
-        if m <= 0:
-            continue
-        for c, k in uses.items():
-            remain[c - 1] -= k * m
-        # deal the classes' real lengths, longest first, into runs of equal sequences
-        while m:
-            lens, t = [], m
-            for c, k in uses.items():
-                stock, taken = by_class[c], k
-                if stock[-1][1] >= k:
-                    lens += [stock[-1][0]] * k
-                    t = min(t, stock[-1][1] // k)
-                else:
-                    t, i = 1, len(stock) - 1
-                    while taken:
-                        use = min(taken, stock[i][1])
-                        lens += [stock[i][0]] * use
-                        taken -= use
-                        i -= 1
-            for length, k in Counter(lens).items():
-                stock = by_class[-(-length // grain)]
-                next(s for s in stock if s[0] == length)[1] -= k * t
-                left[length] -= k * t
-            for c in uses:
-                by_class[c] = [s for s in by_class[c] if s[1]]
-            opened.append((size - sum(lens), lens, t))
+        while m > 0:
+            lens: list[int] = []
+            for c in config[:-1]:
+                n = longest(max(1, c * grain - grain // 2), min(c * grain + grain - grain // 2 - 1, size - sum(lens)))
+                if not n:
+                    break
+                lens.append(n)
+                stock[n] -= 1
+            free = size - sum(lens)
+            n = longest(free - 2 * grain, free) if len(lens) == len(config) - 1 else 0
+            for y in lens:
+                stock[y] += 1
+            if not n:
+                break
+            lens.append(n)
+            t = min([m, *(int(stock[y]) // k for y, k in Counter(lens).items())])
+            if t < 1:
+                break
+            for y, k in Counter(lens).items():
+                stock[y] -= k * t
+                remain[klass[y] - 1] -= k * t
+            dealt.append((lens, t))
             m -= t
-    return best_fit(opened, +left, size)
+    left = Counter({int(n): int(stock[n]) for n in np.flatnonzero(stock)})
+    return best_fit([(size - sum(v), v, m) for v, m in dealt], left, size)
 
 
 def places(sequences: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
