@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import relational, retrieval
+from .plans import composite, relational, retrieval
 
-QUERIES = retrieval.QUERIES | relational.QUERIES
-ORACLES = retrieval.ORACLES | relational.ORACLES
+QUERIES = retrieval.QUERIES | relational.QUERIES | composite.QUERIES
+ORACLES = retrieval.ORACLES | relational.ORACLES | composite.ORACLES

@@ -158,7 +158,7 @@ def part_index(spark: SparkSession, sf_dir: str) -> I.Index:
     return I.build(spark, T.codes(spark, sf_dir), T.terms(spark, sf_dir))
 
 
-SEARCHES = "(VALUES (1, 'steel bolt'), (2, 'A00'), (3, 'A00-B03'), (4, 'copper -ring'), (5, 'B02.1 nothing'), (6, 'left brass gear'), (7, 'stel bolt')) AS t(qid, raw)"
+SEARCHES = "(VALUES (1, 'blue anvil'), (2, 'A00'), (3, 'A00-B03'), (4, 'cold -widget'), (5, 'B02.1 nothing'), (6, 'left cold widget'), (7, 'blue anvli')) AS t(qid, raw)"
 
 
 @query()

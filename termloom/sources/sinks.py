@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.codes import shard_key
@@ -85,5 +85,5 @@ def export_list(codes: DataFrame, order: str) -> DataFrame:
 
 def import_list(lists: DataFrame, codes: DataFrame, value: str = "value") -> DataFrame:
     """Known codes of exported lists, each once."""
-    body: Column = F.explode(F.split(F.regexp_replace(value, f"^{LIST_MARK}", ""), ","))
-    return lists.where(F.col(value).startswith(LIST_MARK)).select(F.trim(body).alias("code")).distinct().join(codes.select("code"), "code", "left_semi")
+    names = F.transform(F.split(F.regexp_replace(value, f"^{LIST_MARK}", ""), ","), F.trim)
+    return lists.where(F.col(value).startswith(LIST_MARK)).select(F.explode(names).alias("code")).distinct().join(codes.select("code"), "code", "left_semi")
