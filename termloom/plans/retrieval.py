@@ -175,7 +175,7 @@ q AS (SELECT ord AS qid, {T.key_sql(T.normalise_sql('zh'))} AS key FROM codes0 W
 hit AS (SELECT qid, code, max({WEIGHT_SQL}) AS w FROM q JOIN k USING (key) GROUP BY qid, code),
 cand AS (SELECT qid, code, 60 * 2 * w AS s, true AS node FROM hit
   UNION ALL SELECT qid, c.code, 25 * w, false FROM hit h JOIN codes c ON left(c.code, 3) = left(h.code, 3) AND starts_with(c.code, h.code) AND c.code <> h.code)
-SELECT qid, code, round(max(s), 4) AS s, bool_or(node) AS node FROM cand GROUP BY qid, code""")
+SELECT qid, code, round(CAST(max(s) AS DOUBLE), 4) AS s, bool_or(node) AS node FROM cand GROUP BY qid, code""")
 def whole_atm(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = T.codes(spark, sf_dir), T.terms(spark, sf_dir)
     keys = t.select("code", "src_id", X.phrase_key(X.normalise(F.col("text"))).alias("key"))
@@ -191,7 +191,7 @@ TITLES = """(VALUES ('M17.11', 'Unilateral primary osteoarthritis, right knee',
 ('J20', 'Acute bronchitis', 0, 5.0), ('J42', 'Chronic bronchitis without complications', 1, 5.0), ('R65.20', 'Severe sepsis without septic shock', 1, 4.0)) AS t(code, en, use, s)"""
 
 
-@query(f"""SELECT code, round(s * CASE WHEN use = 0 THEN 0.97 ELSE 1 END * CASE WHEN regexp_matches(en, '(?i)classified elsewhere') THEN 0.9 ELSE 1 END
+@query(f"""SELECT code, round(CAST(s AS DOUBLE) * CASE WHEN use = 0 THEN 0.97 ELSE 1 END * CASE WHEN regexp_matches(en, '(?i)classified elsewhere') THEN 0.9 ELSE 1 END
 * CASE WHEN code = 'R65.20' THEN 0.6 ELSE 1 END * CASE WHEN starts_with(code, 'O') THEN 0.85 ELSE 1 END, 6) AS score FROM {TITLES}""")
 def demotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"SELECT code, '' AS zh, en, use, CAST(s AS DOUBLE) AS s FROM {TITLES}")
