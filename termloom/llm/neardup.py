@@ -1,18 +1,26 @@
 """MinHash near-duplicate detection.
 
 Pass 1 turns each text into its set of k-word shingles (64-bit hashes), a
-128-bit fingerprint of the set, and ``BANDS * ROWS`` universal-hash minima.
-Documents with one fingerprint form a class; only its least doc_id goes on.
-Pass 2 bands the signatures. In each bucket every class meets the bucket's
-least class (a star, not all pairs); the pair must pass the signature estimate
-and then the threshold on full sets. Large-star/small-star gives components.
-Pass 3 takes the buckets whose classes still lie in several components and
-compares the classes of different components there, in blocks of bounded size;
-so every pair that shares a bucket is either tested or already connected.
+128-bit fingerprint of the set and ``HASHES`` universal-hash minima. Documents
+with one fingerprint form a class; only its least doc_id goes on. The first
+``BANDS * ROWS`` minima give the band keys; one byte of every minimum is the
+signature that candidates are verified by.
+Pass 2 finds each bucket's most popular class (the one that shares most buckets:
+the base of a group of copies) and lets a class meet the LEADS most popular of
+its buckets, a star and not all pairs; a pair must pass the signature estimate and
+then the threshold on full sets. Large-star/small-star gives components.
+Pass 3 takes the buckets whose classes still lie in several components. Classes
+outside the bucket's largest component visit all of the bucket's blocks, which
+have a bounded size, and are compared with the classes of other components; so
+every pair that shares a bucket is either tested or already connected.
 
 With 4 rows and 24 bands a pair at similarity 0.85 shares no bucket with
-probability 2e-8 (0.8: 4e-6); the estimate from 96 minima is allowed an error
-of 0.2, over five standard deviations.
+probability 2e-8 (0.8: 4e-6); the estimate from 512 minima is allowed an error
+of 0.075, over four standard deviations.
+
+Full sets are computed again only for classes in some candidate pair. A bitmap
+of their ids, never above ``BITMAP`` bits, lets the other texts pass by unread
+before any shuffle; what it lets through in error falls out in the join.
 
 Nulls: null text is an empty set, linked with nothing. Rows without doc_id are
 returned with a null component and kept. Rows that repeat a doc_id are one node.
@@ -22,16 +30,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import U, groups, key_bounds, mix, powers, prepare, read, runs, shingles, table, text_buffer
+from .common import U, groups, key_bounds, mix, prepare, read, runs, shingles, table, text_buffer
 from .components import connected_components
 
 BANDS, ROWS = 24, 4
-HASHES = BANDS * ROWS
-SLACK = 0.2
+HASHES = 512
+SLACK = 0.075
 SALT = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
-BLOCK = 256
+BLOCK = 1024
+LEADS = 2  # most popular classes a class is first compared with
+BITMAP = 1 << 27  # bits: 16 MB
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +66,14 @@ def signatures(vals: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    rows = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(U)
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=U)), rows.shape[:2]).copy()
+    for r in range(ROWS):
+        key = mix(key * U(0x9E3779B97F4A7C15) + rows[:, :, r])
+    return key
+
+
 def _profile(k: int):
     def run(batches):
         for b in batches:
@@ -70,29 +88,38 @@ def _profile(k: int):
                     for q in (0, 1):
                         sums[q, some] = np.add.reduceat(mix(vals + SALT[q]), bound[some])
                 sig = signatures(vals, bound)
+                packed = np.concatenate([_band_keys(sig).view(np.uint8), sig.astype(np.uint8)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
+                    [ids.slice(i, j - i), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary())],
                     ["doc_id", "n", "f1", "f2", "sig"],
                 )
 
     return run
 
 
+def _unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * BANDS + HASHES)
+
+
 def _bands(batches):
-    salt = mix(np.arange(1, BANDS + 1, dtype=U))
     for b in batches:
-        if not b.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(U)
-        key = np.broadcast_to(salt, sig.shape[:2]).copy()
-        for r in range(ROWS):
-            key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, :, r])
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], ["key", "rep"])
+        if b.num_rows:
+            keys = np.ascontiguousarray(_unpacked(b.column("sig"))[:, : 8 * BANDS]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], ["key", "rep"])
 
 
-def _sets(k: int):
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(U)) & U(bits - 1)).astype(np.int64)
+
+
+def _sets(k: int, wanted):
+    """Sets of the documents whose id's bit is set."""
+
     def run(batches):
+        bits = np.unpackbits(wanted.value, bitorder="little").view(bool)
         for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            b = b.filter(pa.array(bits[_bit(ids, len(bits))]))
             data, offs = text_buffer(b.column("text"))
             for i, j in groups(offs):
                 vals, bound = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
@@ -107,11 +134,10 @@ def _sets(k: int):
 def _estimate(floor: float):
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_u", "sig_v"))
-            ok = (x == y).mean(axis=1) >= floor
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[ok]) for c in ("u", "v")], ["u", "v"])
+            if b.num_rows:
+                x, y = (_unpacked(b.column(c))[:, 8 * BANDS :] for c in ("sig_u", "sig_v"))
+                ok = (x == y).mean(axis=1) >= floor
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[ok]) for c in ("u", "v")], ["u", "v"])
 
     return run
 
@@ -134,28 +160,44 @@ def _exact(percent: int):
 
 
 def _cross(floor: float):
-    """Pairs of different components inside each (key, i, j) block that pass the estimate."""
+    """Pairs of a visitor and a resident of one (key, blk) block, of different
+    components, that pass the estimate."""
 
     def run(batches):
-        for t in runs(batches, ["key", "i", "j"], 4096):
-            at = key_bounds(t, ["key", "i", "j"])
-            rep, comp, blk, i, j = (t[c].to_numpy() for c in ("rep", "comp", "blk", "i", "j"))
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        for t in runs(batches, ["key", "blk"], 4096):
+            at = key_bounds(t, ["key", "blk"])
+            rep, comp, visits = (t[c].to_numpy() for c in ("rep", "comp", "visits"))
+            sig = _unpacked(t["sig"])[:, 8 * BANDS :]
             us, vs = [], []
             for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                left = np.flatnonzero(blk[a:z] == i[a]) + a
-                right = left if i[a] == j[a] else np.flatnonzero(blk[a:z] == j[a]) + a
-                for x in left.tolist():
-                    ys = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i[a] == j[a] else True)]
-                    if len(ys):
-                        ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= floor]
-                        us += [rep[x]] * len(ys)
-                        vs += rep[ys].tolist()
+                guests, own = np.flatnonzero(visits[a:z]) + a, np.flatnonzero(~visits[a:z]) + a
+                for x in guests.tolist():
+                    ys = own[comp[own] != comp[x]]
+                    ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= floor] if len(ys) else ys
+                    us += np.minimum(rep[ys], rep[x]).tolist()
+                    vs += np.maximum(rep[ys], rep[x]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
+def _bitmap(spark: SparkSession, ids: DataFrame):
+    """A broadcast bitmap of ids: 16 bits an id, BITMAP bits at most."""
+    n = max(1, ids.count())
+    bits = min(BITMAP, 1 << max(15, (16 * n - 1).bit_length()))
+
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(b.column("id").to_numpy(), bits))], ["at"])
+
+    chunk = 1 << 15
+    at = ids.mapInArrow(place, "at long").select(F.expr(f"at div {chunk}").alias("c"), (F.col("at") % chunk).alias("o"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in at.groupBy("c").agg(F.bitmap_construct_agg("o").alias("m")).collect():  # BITMAP bits at most
+        out[r["c"] * chunk // 8 : (r["c"] + 1) * chunk // 8] = np.frombuffer(r["m"], np.uint8)[: chunk // 8]
+    return spark.sparkContext.broadcast(out)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     prepare(spark)
@@ -169,36 +211,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     )
     sigs = classes.select("rep", "sig")
     banded = table(spark, sigs.mapInArrow(_bands, "key long, rep long"), "bands")
-    shared = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    stars = banded.join(shared, "key").where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-
-    def confirmed(pairs: DataFrame, estimated: bool) -> DataFrame:
-        if not estimated:
-            s = pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
-            pairs = s.select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate(floor), "u long, v long")
-        pairs = pairs.distinct().checkpoint()
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, hashes binary").checkpoint()
+    size = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    popular = banded.join(size, "key").checkpoint()  # only classes that share a bucket
+    score = popular.groupBy("rep").agg(F.sum("size").alias("score"))
+    scored = popular.join(score, "rep")
+    best = F.max(F.struct("score", (-F.col("rep")).alias("rep")))
+    leads = scored.groupBy("key").agg(best.alias("b")).select("key", F.col("b.score").alias("score"), (-F.col("b.rep")).alias("lead"))
+    # a class meets the most popular leads of its (at most BANDS) buckets
+    met = popular.join(leads, "key").where("rep <> lead").groupBy("rep", "lead").agg(F.first("score").alias("score"))
+    order = Window.partitionBy("rep").orderBy(F.desc("score"), "lead")
+    met = met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADS)
+    stars = met.select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct().checkpoint()
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().checkpoint()
+        docs_of = docs.where("doc_id is not null").mapInArrow(_sets(shingle, _bitmap(spark, ids)), "id long, hashes binary")
+        sets = table(spark, docs_of.join(ids, "id", "left_semi"), "sets")
         full = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("hv")), "v")
-        return full.select("u", "v", "hu", "hv").mapInArrow(_exact(percent), "u long, v long").checkpoint()
+        return full.select("u", "v", "hu", "hv").mapInArrow(_exact(percent), "u long, v long").distinct().checkpoint()
 
-    links = confirmed(stars, False)
+    s = stars.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
+    links = confirmed(s.select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate(floor), "u long, v long").checkpoint())
     comp = connected_components(links)
-    named = sigs.join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    parted = banded.join(named, "rep")
-    open_ = parted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).alias("nb"))
-    cells = (
-        parted.join(open_, "key")
-        .withColumn("blk", F.pmod(F.xxhash64("rep"), "nb"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "rep", "comp")
-        .checkpoint()
-    )
-    if not cells.isEmpty():
-        cells = cells.join(sigs, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        more = confirmed(cells.mapInArrow(_cross(floor), "u long, v long"), True)
-        if not more.isEmpty():
-            comp = connected_components(links.union(more))
+    parted = popular.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    counts = parted.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps"), F.ceil(F.sum("n") / BLOCK).alias("nb")).where("comps > 1").drop("comps")
+    members = parted.join(open_, "key").checkpoint()
+    if not members.isEmpty():
+        residents = members.select("key", F.pmod(F.xxhash64("rep"), "nb").alias("blk"), "rep", "comp", F.lit(False).alias("visits"))
+        visitors = members.where("comp <> major").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"), "rep", "comp", F.lit(True).alias("visits"))
+        met = residents.union(visitors).join(sigs, "rep").repartition("key", "blk").sortWithinPartitions("key", "blk")
+        pairs = met.mapInArrow(_cross(floor), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti").checkpoint()
+        if not pairs.isEmpty():
+            more = confirmed(pairs)
+            if not more.isEmpty():
+                comp = connected_components(links.union(more))
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = prof.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -207,3 +254,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT sym.b, r.c FROM r JOIN sym ON r.doc_id = sym.a)
+SELECT doc_id, any_value(n) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id
+"""

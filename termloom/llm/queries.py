@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontam import op7_cgk_decontamination
 from .licenses import op3_license_sentences
-from .neardup import op2_minhash_neardup
+from .neardup import OP2_SQL, op2_minhash_neardup
 from .packing import op10_configuration_packing
 from .pii import op9_anchor_pii
 from .quality import op8_weak_label_quality
@@ -28,4 +28,4 @@ QUERIES = {
         op10_configuration_packing,
     )
 }
-ORACLES = {"op5_threshold_topk": OP5_SQL}
+ORACLES = {"op2_minhash_neardup": OP2_SQL, "op5_threshold_topk": OP5_SQL}
