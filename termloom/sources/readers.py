@@ -116,7 +116,7 @@ def curated(spark: SparkSession, path: str) -> DataFrame:
     """Curation files: lists of flow mappings, one ``- {term: .., codes: [..], ..}`` a line."""
     t = spark.read.text(path).where(F.col("value").rlike(r"^\s*- \{"))
     field = lambda f: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("value", rf"[{{,]\s*{f}:\s*(\"[^\"]*\"|'[^']*'|\[[^\]]*\]|[^,}}]*)", 1), r"^[\"'\[]|[\"'\]]$", "")), F.lit(""))
-    codes = F.filter(F.transform(F.split(F.coalesce(field("codes"), F.lit("")), ","), F.trim), lambda x: x != "")
+    codes = F.filter(F.transform(F.split(F.coalesce(field("codes"), F.lit("")), ","), lambda c: F.trim(c)), lambda x: x != "")
     return t.select(field("term").alias("term"), codes.alias("codes"), field("expand").alias("expand"), field("note").alias("note"), (field("approved") == "true").alias("approved"))
 
 

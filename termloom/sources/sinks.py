@@ -85,5 +85,5 @@ def export_list(codes: DataFrame, order: str) -> DataFrame:
 
 def import_list(lists: DataFrame, codes: DataFrame, value: str = "value") -> DataFrame:
     """Known codes of exported lists, each once."""
-    names = F.transform(F.split(F.regexp_replace(value, f"^{LIST_MARK}", ""), ","), F.trim)
+    names = F.transform(F.split(F.regexp_replace(value, f"^{LIST_MARK}", ""), ","), lambda c: F.trim(c))
     return lists.where(F.col(value).startswith(LIST_MARK)).select(F.explode(names).alias("code")).distinct().join(codes.select("code"), "code", "left_semi")
