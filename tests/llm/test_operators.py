@@ -52,6 +52,34 @@ def test_suffix_dedup(spark, docs, rows):
     assert any(n for (_, _, n, _, _) in want)
 
 
+@pytest.mark.parametrize("hot", [1, suffixdedup.HOT])
+def test_partly_shared_passage_repeated_in_one_document(spark, hot):
+    rng = random.Random(9)
+    word = lambda n, abc: "".join(rng.choice(abc) for _ in range(n))
+    line, shared, x, y = word(60, "abcdef ") + "\n", word(70, "ghijkl "), word(200, "mnopqr "), word(200, "mnopqr ")
+    texts = [
+        (1, word(150, "stuvw ") + line + word(150, "stuvw ")),
+        (2, line * 6 + word(90, "xyz ") + line * 5),
+        (3, word(100, "ABCD ") + shared + word(100, "ABCD ")),
+        (4, x + shared + y + word(120, "EFGH ") + x + shared + y),
+        (4, word(80, "IJKL ") + x + shared + y),
+        (5, line * 3 + x + shared + y),
+    ]
+    least: dict[str, int] = {}
+    for d, t in texts:
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    want = Counter()
+    for d, t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if least[t[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        want[d, len(t), int(gone.sum()), hashlib.sha256("".join(c for c, g in zip(t, gone) if not g).encode()).hexdigest()] += 1
+    got = suffixdedup.substring_dedup(spark, documents(spark, [(d, t, None, None) for d, t in texts]), hot=hot).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == want
+
+
 def test_hot_contexts_go_by_window(spark):
     rng = random.Random(3)
     shared = "".join(rng.choice("abcdef ") for _ in range(120))
