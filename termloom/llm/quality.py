@@ -9,7 +9,9 @@
    judgements, they fix the class of their rows in it.
 3. Posterior labels train a hashed linear scorer (logistic): words, word heads,
    word shapes, and the votes themselves. It is fitted on ``SAMPLE`` rows chosen
-   by a hash of doc_id, judged rows first: a documented bound, equal at any size.
+   by a hash of doc_id, half of them judged and half not (where one kind has fewer
+   rows, the other fills up): a documented bound, equal at any size. So posteriors
+   train the scorer however many judgements there are.
 4. The scorer reads every whole document; a document is kept if neither the junk
    nor the abuse probability reaches one half. Documents without words are not.
 
@@ -288,7 +290,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None):
         pats, inv = np.unique(np.column_stack([raw[:, cols], known]), axis=0, return_inverse=True)
         post, behaviour, share = fit_labels(pats[:, :-1], np.bincount(inv.ravel(), n), pats[:, -1], capped=True)
         fits[name] = {"posterior": {tuple(p): float(x) for p, x in zip(pats.tolist(), post)}, "behaviour": behaviour, "share": share}
-    sample = votes.where("doc_id is not null").orderBy((F.col("j") < 0), F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", "votes", "j", "a")
+    known = votes.where("doc_id is not null").select("doc_id", "votes", "j", "a")
+    with_judgement, without = known.where("j >= 0"), known.where("j < 0")
+    have = known.agg(F.count_if(F.col("j") >= 0), F.count_if(F.col("j") < 0)).first()
+    of_judged = max(SAMPLE // 2, SAMPLE - have[1])
+    order = F.xxhash64("doc_id"), "doc_id"
+    sample = with_judgement.orderBy(*order).limit(of_judged).union(without.orderBy(*order).limit(SAMPLE - min(have[0], of_judged)))
     sample = sample.dropDuplicates(["doc_id"]).checkpoint()
     got = docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     feats = {r["doc_id"]: r["idx"] for r in got.mapInArrow(_features, "doc_id long, idx binary").collect()}  # SAMPLE rows at most

@@ -365,6 +365,22 @@ def test_quality_on_held_out_labels(spark, sf):
     assert np.mean(clean) > 0.97 and np.mean(junk) > 0.95 and np.mean(toxic) > 0.8
 
 
+@pytest.mark.parametrize("size", [400, 1200])
+def test_posteriors_train_the_scorer_however_many_rows_are_judged(spark, sf, monkeypatch, size):
+    sf = sf.replace("sf0.001", "sf0.1")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")  # more judged rows than the sample holds
+    targets = []
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "SAMPLE", size)
+    monkeypatch.setattr(quality, "fit_scorer", lambda idx, bound, dense, target: targets.append(target) or fit(idx, bound, dense, target))
+    quality.train(spark, d, labels)
+    assert len(targets) == 2
+    for t in targets:
+        weak = ((t > 0) & (t < 1)).sum()
+        assert 0 < weak and size // 2 <= len(t) <= size
+
+
 def test_quality_odd_rows(spark, docs, rows):
     got = quality.classify(spark, docs, None).collect()
     assert len(got) == len(rows) and all(not r.keep for r in got if not (r.text or "").strip())
