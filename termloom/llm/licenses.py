@@ -1,8 +1,12 @@
 """Licence scans by sentence rules.
 
-Texts are cut into lines and sentences; a sentence is normalised (lower case,
-runs of anything but letters and digits become one space) and looked up among
-known licence sentences, with a wildcard for years and holders. The document's
+Texts are cut into lines and sentences; lines that follow each other without a
+blank line (comment marks do not count) are one sentence up to the next sentence
+end. Pieces are normalised (lower case, runs of anything but letters and digits
+become one space), and from the start of each piece, single lines and joined ones
+are looked up among known licence sentences, with a wildcard for years and holders;
+the longest that is known counts. A wildcard at the end takes the rest of the
+sentence, up to a piece where another known one starts. The document's
 sequence of identifiers is then matched against ordered rules: a rule holds if
 its identifiers occur in that order, with at most ``GAP`` other sentences between.
 The first rule that holds at a place wins there; all licences found are returned.
@@ -109,22 +113,26 @@ def normalise(s: str) -> str:
     return _NOISE.sub(" ", s.lower()).strip()
 
 
-def _known() -> tuple[dict[str, str], list[tuple[str, re.Pattern]]]:
+def _known() -> tuple[dict[str, str], list[tuple[str, str, str]], set[str]]:
+    """Sentences without wildcard; (name, before, after) of those with one; and what
+    a join of lines may begin with: the first words of the former."""
     exact, open_ = {}, []
     for name, s in SENTENCES:
         n = normalise(s)
-        if "*" not in n:
+        if "*" in n:
+            before, after = (x.strip() for x in n.split("*"))
+            open_.append((name, before, after))
+        else:
             exact[n] = name
-            continue
-        parts = [re.escape(x.strip()) for x in n.split("*")]
-        body = " .+ ".join(x for x in parts if x)
-        open_.append((name, re.compile(("" if parts[0] else ".+ ") + body + ("" if parts[-1] else "(?: .*)?"))))
-    return exact, open_
+    return exact, open_, {" ".join(w[:k]) for n in exact for w in [n.split()] for k in range(1, len(w) + 1)}
 
 
-EXACT, OPEN = _known()
+EXACT, OPEN, BEGINNINGS = _known()
 #: every known sentence has one of these; texts and sentences without any are passed over
-CUE = re.compile(r"licen[cs]e|warranty|permission|redistribution|as is|rights|public domain|gnu general", re.I)
+CUE = re.compile(r"licen[cs]e|warranty|permission|redistribution|as[\W_]+is|rights|public[\W_]+domain|gnu[\W_]+general", re.I)
+_BREAK = re.compile(r"\r\n|[^ \t]")
+_MARKS_AHEAD = re.compile(r"[ \t]*(?:(?:[#/*;%|>!-]+|rem\b|dnl\b)[ \t]*)*", re.I)
+_STOP = re.compile(r"[.;:!?][\"')]*[ \t#/*|-]*$")
 
 
 def sentences(text: str):
@@ -141,12 +149,76 @@ def sentences(text: str):
 
 
 def identify(sentence: str) -> str | None:
-    n = normalise(sentence).replace("*", "").strip()
-    if n in EXACT:
-        return EXACT[n]
-    return next((name for name, p in OPEN if p.fullmatch(n)), None)
+    return next((name for _, _, name in _match([_bare(sentence)])), None)
+
+
+def _bare(piece: str) -> str:
+    """A piece without its comment marks, normalised."""
+    return normalise(piece[_MARKS_AHEAD.match(piece).end() :]).replace("*", " ").strip()
+
+
+def _match(pieces: list[str]) -> list[tuple[int, int, str]]:
+    """(first, last, name) of the known sentences in the normalised pieces of one."""
+    whole = " ".join(pieces)
+    starts, ends, at = [], [], 0
+    for x in pieces:
+        starts.append(at)
+        ends.append(at + len(x))
+        at += len(x) + 1
+    place = {z: j for j, z in enumerate(ends)}
+    found: list[tuple[int, int, str, bool]] = []  # and whether a wildcard ends it
+    i = 0
+    while i < len(pieces):
+        best = (-1, "", False)
+        a = starts[i]
+        for j in range(i, len(pieces)):
+            acc = whole[a : ends[j]] if ends[j] - a <= WIDEST else ""
+            if acc in EXACT:
+                best = (j, EXACT[acc], False)
+            if acc not in BEGINNINGS:
+                break
+        for name, before, after in OPEN:
+            z = a + len(before)
+            if not whole.startswith(before, a) or whole[z : z + 1] not in ("", " "):
+                continue
+            if not after:
+                best = max(best, (next(j for j in range(i, len(ends)) if ends[j] >= z), name, True))
+                continue
+            # the wildcard stands for one word at least
+            at = whole.find(" " + after, z + 2)
+            while at >= 0 and at + 1 + len(after) not in place:
+                at = whole.find(" " + after, at + 1)
+            if at >= 0:
+                best = max(best, (place[at + 1 + len(after)], name, False))
+        if best[0] >= 0:
+            found.append((i, *best))
+            i = best[0]
+        i += 1
+    nexts = [x[0] for x in found[1:]] + [len(pieces)]
+    return [(i, n - 1 if wild else j, name) for (i, j, name, wild), n in zip(found, nexts)]
+
+
+def _joined(text: str):
+    """Lists of pieces (start, end, normalised) that make up one sentence."""
+    run: list[tuple[int, int, str]] = []
+    for a, z in sentences(text):
+        ahead = _MARKS_AHEAD.match(text, a, z).end()
+        bare = _bare(text[a:z])
+        if run:
+            y = run[-1][1]
+            apart = not bare or len(_BREAK.findall(text, y, a)) != 1 or "\f" in text[y:a]
+            stop = _STOP.search(text, run[-1][0], y)
+            ends = stop and not _ABBREVIATION.search(text, max(run[-1][0], y - 6), y) and (text[ahead] in '"(' or text[ahead].isupper())
+            if apart or ends:
+                yield run
+                run = []
+        if bare:
+            run.append((a, z, bare))
+    if run:
+        yield run
 
 
+WIDEST = max(map(len, EXACT))
 LONGEST = 4 * max(len(s) for _, s in SENTENCES)
 
 
@@ -155,9 +227,17 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if not text or not CUE.search(text):
         return []
     found: list[tuple[int, str, int, int]] = []
-    for k, (a, z) in enumerate(sentences(text)):
-        if z - a <= LONGEST and CUE.search(text, a, z) and (name := identify(text[a:z])):
-            found.append((k, name, a, z))
+    k = 0
+    for run in _joined(text):
+        if CUE.search(text, run[0][0], run[-1][1]):
+            last = -1
+            for i, j, name in _match([x if z - a <= LONGEST else "" for a, z, x in run]):
+                k += i > last + 1  # what stands before it in the sentence
+                found.append((k, name, run[i][0], run[j][1]))
+                k, last = k + 1, j
+            k += last + 1 < len(run)
+        else:
+            k += 1
     out, i = [], 0
     while i < len(found):
         for licence, rule in RULES:

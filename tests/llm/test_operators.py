@@ -169,6 +169,70 @@ def test_license_rules(text, want):
     assert [x[0] for x in licenses.scan(text)] == want
 
 
+MIT_TEXT = """MIT License
+Copyright (c) 2020 A. Holder
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ENDORSE = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "rem "])
+@pytest.mark.parametrize("line", ["\n", "\r\n"])
+def test_wrapped_licence_texts(mark, line):
+    for text, want, start, end in (
+        (MIT_TEXT, ["MIT", "MIT"], "Permission", "NONINFRINGEMENT."),
+        (BSD_TEXT, ["BSD-2-Clause"], "Redistribution and", "distribution."),
+        (BSD_TEXT + ENDORSE, ["BSD-3-Clause"], "Redistribution and", "written permission."),
+        (GPL_TEXT, ["GPL-3.0"], "This program is free", "PARTICULAR PURPOSE."),
+    ):
+        t = line.join(mark + x for x in f"some words\n\n{text}\n\nmore words".split("\n"))
+        got = licenses.scan(t)
+        assert [x[0] for x in got] == want
+        found = t[got[-1][1] : got[-1][2]]
+        assert start in found[: len(mark) + 6 + len(start)] and found.endswith(end)
+
+
+def test_lines_without_marks_keep_their_own_sentences():
+    flat = [" ".join(x.split()).rstrip(".:") for x in MIT_TEXT[MIT_TEXT.index("Permission") :].split("\n\n")]
+    got = licenses.scan("\n".join(["title", *flat, "more"]))
+    assert [x[0] for x in got] == ["MIT"]
+    got = licenses.scan("MIT License\nnext words follow\nLicensed under CC BY 4.0")
+    assert [x[0] for x in got] == ["MIT", "CC-BY-4.0"]
+
+
 def test_every_license_sentence_is_known_and_has_a_cue():
     for name, s in licenses.SENTENCES:
         assert licenses.identify(s.replace("*", "x y")) == name and licenses.CUE.search(s)
