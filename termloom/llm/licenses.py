@@ -219,9 +219,6 @@ def _joined(text: str):
 
 
 WIDEST = max(map(len, EXACT))
-LONGEST = 4 * max(len(s) for _, s in SENTENCES)
-
-
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(licence, start, end) of the rules that hold, in order."""
     if not text or not CUE.search(text):
@@ -231,7 +228,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     for run in _joined(text):
         if CUE.search(text, run[0][0], run[-1][1]):
             last = -1
-            for i, j, name in _match([x if z - a <= LONGEST else "" for a, z, x in run]):
+            for i, j, name in _match([x for _, _, x in run]):
                 k += i > last + 1  # what stands before it in the sentence
                 found.append((k, name, run[i][0], run[j][1]))
                 k, last = k + 1, j

@@ -233,6 +233,12 @@ def test_lines_without_marks_keep_their_own_sentences():
     assert [x[0] for x in got] == ["MIT", "CC-BY-4.0"]
 
 
+def test_sentences_of_any_length():
+    grant = " ".join(MIT_TEXT[MIT_TEXT.index("Permission") :].split()).lower()
+    assert [x[0] for x in licenses.scan(grant + " and so on" * 1000)] == ["MIT"]
+    assert [x[0] for x in licenses.scan("Released" + " " * 5000 + "under the MIT License.")] == ["MIT"]
+
+
 def test_every_license_sentence_is_known_and_has_a_cue():
     for name, s in licenses.SENTENCES:
         assert licenses.identify(s.replace("*", "x y")) == name and licenses.CUE.search(s)
