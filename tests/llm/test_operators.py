@@ -100,7 +100,7 @@ def test_repeated_matches_brute_force():
             for i in range(len(t) - span + 1):
                 least[t[i : i + span]] = min(d, least.get(t[i : i + span], d))
         want = {(x, i) for x, (d, t) in enumerate(zip(docs.tolist(), texts)) for i in range(len(t) - span + 1) if least[t[i : i + span]] < d}
-        assert set(suffixdedup.repeated(texts, docs, span, shard)) == want
+        assert {(int(x), int(i)) for x, i in zip(*suffixdedup.repeated(texts, docs, span, shard))} == want
 
 
 # --- 2 -------------------------------------------------------------------------
