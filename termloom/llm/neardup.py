@@ -9,10 +9,14 @@ Pass 2 finds each bucket's most popular class (the one that shares most buckets:
 the base of a group of copies) and lets a class meet the LEADS most popular of
 its buckets, a star and not all pairs; a pair must pass the signature estimate and
 then the threshold on full sets. Large-star/small-star gives components.
-Pass 3 takes the buckets whose classes still lie in several components. Classes
-outside the bucket's largest component visit all of the bucket's blocks, which
-have a bounded size, and are compared with the classes of other components; so
-every pair that shares a bucket is either tested or already connected.
+Pass 3 takes the buckets whose classes still lie in several components (of buckets
+with the same classes only one). Classes outside the bucket's largest component are
+its guests. Guests and members are dealt to cells of bounded size, and every guest
+meets every member of another component in one cell. A pair is looked at in the first
+band it shares only. Classes with a partner that passes the estimate go on with their
+full sets; their cell counts all intersections exactly and gives back only links that
+join two components, fewer than it has classes. So every pair that shares a bucket is
+either tested or already connected, and rows out grow with classes, not with pairs.
 
 With 4 rows and 24 bands a pair at similarity 0.85 shares no bucket with
 probability 2e-8 (0.8: 4e-6); the estimate from 512 minima is allowed an error
@@ -39,7 +43,9 @@ BANDS, ROWS = 24, 4
 HASHES = 512
 SLACK = 0.075
 SALT = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], U)
-BLOCK = 1024
+BLOCK = 2048  # classes on either side of a cell
+WEIGHT = 1 << 19  # shingles on either side of a cell
+COMMON = 32  # classes of a cell that hold a shingle, from which its column is dense
 LEADS = 2  # most popular classes a class is first compared with
 BITMAP = 1 << 27  # bits: 16 MB
 
@@ -105,7 +111,8 @@ def _bands(batches):
     for b in batches:
         if b.num_rows:
             keys = np.ascontiguousarray(_unpacked(b.column("sig"))[:, : 8 * BANDS]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], ["key", "rep"])
+            n, rep = (np.repeat(b.column(c).to_numpy(), BANDS) for c in ("n", "rep"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(rep), pa.array(n)], ["key", "band", "rep", "n"])
 
 
 def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -159,24 +166,104 @@ def _exact(percent: int):
     return run
 
 
-def _cross(floor: float):
-    """Pairs of a visitor and a resident of one (key, blk) block, of different
-    components, that pass the estimate."""
+MAJOR, MINOR, GUEST = range(3)  # members of a bucket's largest component, other members, guests
+
+
+def _partnered(floor: float):
+    """Rows of each (key, cell) that have a partner of another component which passes
+    the estimate and shares no earlier band."""
 
     def run(batches):
-        for t in runs(batches, ["key", "blk"], 4096):
-            at = key_bounds(t, ["key", "blk"])
-            rep, comp, visits = (t[c].to_numpy() for c in ("rep", "comp", "visits"))
-            sig = _unpacked(t["sig"])[:, 8 * BANDS :]
-            us, vs = [], []
+        for t in runs(batches, ["key", "cell"], 4096):
+            at = key_bounds(t, ["key", "cell"])
+            rep, comp, role, band = (t[c].to_numpy() for c in ("rep", "comp", "role", "band"))
+            packed = _unpacked(t["sig"])
+            keys, sig = np.ascontiguousarray(packed[:, : 8 * BANDS]).view(np.int64), packed[:, 8 * BANDS :]
+            some = np.zeros(len(rep), bool)
             for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
-                guests, own = np.flatnonzero(visits[a:z]) + a, np.flatnonzero(~visits[a:z]) + a
-                for x in guests.tolist():
-                    ys = own[comp[own] != comp[x]]
+                own = np.flatnonzero(role[a:z] != GUEST) + a
+                early = np.ascontiguousarray(keys[own, : band[a]])
+                for x in (np.flatnonzero(role[a:z] == GUEST) + a).tolist():
+                    may = (comp[own] != comp[x]) & ((role[own] == MAJOR) | (rep[own] > rep[x]))
+                    may[may] = ~(early[may] == keys[x, : band[a]]).any(axis=1)
+                    ys = own[may]
                     ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= floor] if len(ys) else ys
-                    us += np.minimum(rep[ys], rep[x]).tolist()
-                    vs += np.maximum(rep[ys], rep[x]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                    some[ys] = True
+                    some[x] |= len(ys) > 0
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(t[c].to_numpy()[some]) for c in ("key", "cell", "rep", "comp", "role")], ["key", "cell", "rep", "comp", "role"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray], guests: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of guests and own (row numbers):
+    by matrix product for common elements, by pairs for those of few sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    code, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    out = np.zeros((len(guests), len(own)), np.float32)
+    common = np.flatnonzero(freq > COMMON)
+    column = np.full(len(freq), -1)
+    for lo in range(0, len(common), 1024):
+        part = common[lo : lo + 1024]
+        column[part] = np.arange(len(part))
+        on = np.flatnonzero(column[code] >= 0)
+        dense = np.zeros((len(sets), len(part)), np.float32)
+        dense[owner[on], column[code[on]]] = 1
+        out += dense[guests] @ dense[own].T
+        column[part] = -1
+    row, col = (np.full(len(sets), -1) for _ in range(2))
+    row[guests], col[own] = np.arange(len(guests)), np.arange(len(own))
+    few = np.flatnonzero((freq[code] <= COMMON) & (freq[code] > 1))
+    few = few[np.argsort(code[few], kind="stable")]
+    c, o = code[few], owner[few]
+    flat = out.reshape(-1)
+    for d in range(1, COMMON):
+        same = np.flatnonzero(c[d:] == c[:-d])
+        if not len(same):
+            break
+        for x, y in ((o[same], o[same + d]), (o[same + d], o[same])):
+            on = (row[x] >= 0) & (col[y] >= 0)
+            at, n = np.unique(row[x[on]] * len(own) + col[y[on]], return_counts=True)
+            flat[at] += n
+    return out
+
+
+def _joining(percent: int):
+    """Links of each (key, cell) that join components, none twice."""
+
+    def run(batches):
+        for t in runs(batches, ["key", "cell"], 1):
+            at = key_bounds(t, ["key", "cell"])
+            us, vs = [], []
+            for a, z in zip(at[:-1].tolist(), at[1:].tolist()):
+                part = t.slice(a, z - a)
+                rep, comp, role = (part[c].to_numpy() for c in ("rep", "comp", "role"))
+                sets = [np.frombuffer(x.as_buffer(), U) for c in part["hashes"].chunks for x in c]
+                guests, own = np.flatnonzero(role == GUEST), np.flatnonzero(role != GUEST)
+                if not len(guests) or not len(own):
+                    continue
+                n = np.array([len(x) for x in sets])
+                both = shared_counts(sets, guests, own).astype(np.int64)
+                i, j = np.nonzero(100 * both >= percent * (n[guests][:, None] + n[own] - both))
+                i, j = guests[i], own[j]
+                p, q = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                once = np.unique(np.stack([p, q]), axis=1, return_index=True)[1] if len(p) else []
+                root: dict[int, int] = {}
+
+                def top(x):
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for k in once:
+                    x, y = sorted((top(int(p[k])), top(int(q[k]))))
+                    if x != y:
+                        root[y] = x
+                        us.append(min(rep[i[k]], rep[j[k]]))
+                        vs.append(max(rep[i[k]], rep[j[k]]))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
@@ -210,7 +297,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         "classes",
     )
     sigs = classes.select("rep", "sig")
-    banded = table(spark, sigs.mapInArrow(_bands, "key long, rep long"), "bands")
+    banded = table(spark, classes.select("rep", "n", "sig").mapInArrow(_bands, "key long, band int, rep long, n long"), "bands")
     size = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     popular = banded.join(size, "key").checkpoint()  # only classes that share a bucket
     score = popular.groupBy("rep").agg(F.sum("size").alias("score"))
@@ -223,27 +310,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     met = met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADS)
     stars = met.select(F.least("lead", "rep").alias("u"), F.greatest("lead", "rep").alias("v")).distinct().checkpoint()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().checkpoint()
-        docs_of = docs.where("doc_id is not null").mapInArrow(_sets(shingle, _bitmap(spark, ids)), "id long, hashes binary")
-        sets = table(spark, docs_of.join(ids, "id", "left_semi"), "sets")
-        full = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("hv")), "v")
-        return full.select("u", "v", "hu", "hv").mapInArrow(_exact(percent), "u long, v long").distinct().checkpoint()
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = ids.distinct().checkpoint()
+        found = docs.where("doc_id is not null").mapInArrow(_sets(shingle, _bitmap(spark, ids)), "id long, hashes binary")
+        return table(spark, found.join(ids, "id", "left_semi").distinct(), "sets")
 
     s = stars.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
-    links = confirmed(s.select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate(floor), "u long, v long").checkpoint())
+    near = s.select("u", "v", "sig_u", "sig_v").mapInArrow(_estimate(floor), "u long, v long").checkpoint()
+    sets = sets_of(near.select(F.explode(F.array("u", "v")).alias("id")))
+    full = near.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("hv")), "v")
+    links = full.select("u", "v", "hu", "hv").mapInArrow(_exact(percent), "u long, v long").distinct().checkpoint()
     comp = connected_components(links)
-    parted = popular.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    counts = parted.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    open_ = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps"), F.ceil(F.sum("n") / BLOCK).alias("nb")).where("comps > 1").drop("comps")
+    parted = popular.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    counts = parted.groupBy("key", "band", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+    total = counts.groupBy("key", "band").agg(
+        F.max_by("comp", F.struct("m", "comp")).alias("major"), F.max("m").alias("most"), F.max_by("n", F.struct("m", "comp")).alias("major_n"),
+        F.count("*").alias("comps"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.sum("who").alias("who"),
+    )
+
+    def blocks(m, n):
+        return F.greatest(F.ceil(m / F.lit(BLOCK)), F.ceil(n / F.lit(WEIGHT)))
+
+    # of buckets with the same classes the one of the first band
+    open_ = total.where("comps > 1").groupBy("who", "m", "n").agg(F.min_by(F.struct("key", "major", "most", "major_n"), "band").alias("b")).select("b.*", "m", "n")
+    open_ = open_.select("key", "major", blocks(F.col("m"), F.col("n")).alias("nb"), blocks(F.col("m") - F.col("most"), F.col("n") - F.col("major_n")).alias("ng"))
     members = parted.join(open_, "key").checkpoint()
     if not members.isEmpty():
-        residents = members.select("key", F.pmod(F.xxhash64("rep"), "nb").alias("blk"), "rep", "comp", F.lit(False).alias("visits"))
-        visitors = members.where("comp <> major").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"), "rep", "comp", F.lit(True).alias("visits"))
-        met = residents.union(visitors).join(sigs, "rep").repartition("key", "blk").sortWithinPartitions("key", "blk")
-        pairs = met.mapInArrow(_cross(floor), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti").checkpoint()
-        if not pairs.isEmpty():
-            more = confirmed(pairs)
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        own = members.withColumns({"g": upto("ng"), "m": F.pmod(F.xxhash64("rep"), "nb"), "role": F.when(F.col("comp") == F.col("major"), MAJOR).otherwise(MINOR)})
+        guests = members.where("comp <> major").withColumns({"m": upto("nb"), "g": F.pmod(F.xxhash64("rep", F.lit(1)), "ng"), "role": F.lit(GUEST)})
+        met = own.unionByName(guests).select("key", "band", "rep", "comp", "role", (F.col("g") * F.col("nb") + F.col("m")).alias("cell"))
+        met = met.join(sigs, "rep").repartition("key", "cell").sortWithinPartitions("key", "cell")
+        some = table(spark, met.mapInArrow(_partnered(floor), "key long, cell long, rep long, comp long, role int"), "partnered")
+        if not some.isEmpty():
+            sets = sets_of(some.select(F.col("rep").alias("id")))
+            held = some.join(sets.withColumnRenamed("id", "rep"), "rep").repartition("key", "cell").sortWithinPartitions("key", "cell")
+            more = held.mapInArrow(_joining(percent), "u long, v long").distinct().checkpoint()
             if not more.isEmpty():
                 comp = connected_components(links.union(more))
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
