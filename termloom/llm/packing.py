@@ -5,12 +5,21 @@ sequence, and keeps (doc_id, piece, length, checksum). Full pieces are sequences
 of their own. The histogram of the other lengths (fewer bins than a sequence has
 tokens, however many documents) is all the driver sees. There:
 
-* configurations (multisets of length classes that fit a sequence) are priced by
-  an unbounded knapsack dynamic program; multiplicative weights lower the price
-  of the lengths a chosen configuration covers, which solves the covering linear
-  program fractionally;
-* the fractional counts are rounded down, and what remains is packed best fit,
-  longest first, into the gaps left by class rounding and into new sequences.
+* configurations (multisets of length classes that fit a sequence) are the columns of
+  a covering linear program: as few sequences as possible that hold all pieces.
+  Multiplicative weights solve it: each round prices the classes, finds the best
+  configuration by a knapsack dynamic program, and lowers the prices of what it
+  covers. Any prices bound the program from below (their worth of all pieces over
+  the best configuration's worth), so the gap is known. Pivots over the
+  configurations found, priced by the same knapsack, then make the solution basic,
+  one configuration a class at most, and close the gap;
+* whole counts are dealt, the program is solved again for what remains (each time
+  the counts of one half or more go up to one), and the last pieces are packed best
+  fit, longest first, into gaps and new sequences.
+
+With at most ``EXACT`` different lengths each is a class of its own, and a plan has
+at most as many sequences as the bound and one a class; with more, lengths go to
+classes of ``GRAIN`` tokens.
 
 Pass 2 deals real pieces to planned places: a piece's rank among the pieces of
 its length is found by a range partitioning (no key in one task) and looked up
@@ -34,10 +43,11 @@ from .tokens import encoder
 
 SIZE = 4096
 GRAIN = 16  # tokens of one length class in the linear program
-ROUNDS = 4000
-RATE = 0.05
-SHARE = 0.25  # of a configuration's greatest use that one round takes
-LARGE = 0.1  # large classes go first: they are the hard ones to place late
+EXACT = 48  # different lengths up to which each is a class of its own
+ROUNDS, RATE = 150, 0.2  # of the multiplicative weights
+PIVOTS = 3000
+GAP = 1e-4  # of the bound by which a solution may exceed it
+SOLVES = 6  # of the linear program, for what remains of the one before
 
 
 def _pieces(path: str, size: int, end: int):
@@ -58,55 +68,82 @@ def _pieces(path: str, size: int, end: int):
     return run
 
 
-def _knapsack(price: np.ndarray, cap: int) -> list[int]:
-    """The multiset of class sizes (index + 1) of the highest total price within cap units."""
-    best, pick = np.zeros(cap + 1), np.zeros(cap + 1, np.int64)
+def _knapsack(price: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
+    """How many of each class (ascending sizes) the multiset of the highest total price within cap holds."""
+    best, pick = np.zeros(cap + 1), np.full(cap + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(cap + 1), "right")
     for c in range(1, cap + 1):
-        m = min(c, len(price))
-        v = price[:m] + best[c - m : c][::-1]
-        k = int(v.argmax())
-        if v[k] > best[c - 1]:
-            best[c], pick[c] = v[k], k + 1
-        else:
-            best[c], pick[c] = best[c - 1], 0
-    out, c = [], cap
+        best[c] = best[c - 1]
+        m = fits[c]
+        if m:
+            v = best[c - sizes[:m]] + price[:m]
+            k = int(v.argmax())
+            if v[k] > best[c]:
+                best[c], pick[c] = v[k], k
+    uses, c = np.zeros(len(sizes)), cap
     while c > 0:
-        if pick[c]:
-            out.append(int(pick[c]))
-            c -= int(pick[c])
+        if pick[c] >= 0:
+            uses[pick[c]] += 1
+            c -= int(sizes[pick[c]])
         else:
             c -= 1
-    return out
+    return uses
 
 
-def configurations(demand: np.ndarray, cap: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[tuple[int, ...], float]:
-    """Fractional counts of configurations that use up demand[i] pieces of class i + 1.
+def _weights(sizes: np.ndarray, need: np.ndarray, cap: int) -> tuple[list[np.ndarray], float]:
+    """Configurations that multiplicative weights choose, and the best lower bound of their prices."""
+    price, bound, columns = sizes / cap, 0.0, {}
+    for _ in range(min(ROUNDS, 20 * len(sizes))):
+        uses = _knapsack(price, sizes, cap)
+        bound = max(bound, float(need @ price / (uses @ price)))
+        columns[uses.tobytes()] = uses
+        on = uses > 0
+        share = uses[on] / need[on]  # of each class that one such sequence covers
+        price[on] *= np.exp(-RATE * share / share.max())
+        price /= price.max()
+    return list(columns.values()), bound
+
 
-    Each round prices a class by its size times its weight, finds the best
-    configuration by knapsack, and takes a share of the most it could be used. Weights
-    grow multiplicatively where a class lags behind the others, so all run out together."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, cap: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(configuration, how many) that cover demand[i] > 0 pieces of sizes[i] (ascending),
+    not more configurations than classes, and a lower bound of any cover's total."""
+    unit = int(np.gcd.reduce(sizes))
+    sizes, cap = sizes // unit, cap // unit
     need = demand.astype(float)
-    live = need > 0
-    size = np.arange(1, len(need) + 1, dtype=float)
-    left, weight = need.copy(), live.astype(float)
-    total = float((need * size).sum())
-    count: dict[tuple[int, ...], float] = defaultdict(float)
-    for _ in range(rounds):
-        if (left * size).sum() <= 1e-3 * total:
-            break
-        config = _knapsack(np.where(left > 1e-9, size * (1 + LARGE * size / cap) * weight, 0.0), cap)
-        if not config:
-            break
-        uses = np.bincount(np.array(config) - 1, minlength=len(need))
-        on = uses > 0
-        most = float((left[on] / uses[on]).min())
-        step = most if most < SHARE else max(SHARE, most * SHARE)
-        count[tuple(sorted(config, reverse=True))] += step
-        left = np.maximum(left - step * uses, 0.0)
-        lag = np.divide(left, need, out=np.zeros_like(need), where=live)
-        weight[live] *= np.exp(rate * (lag[live] - float((left * size).sum()) / total))
-        weight[live] /= weight[live].mean()
-    return dict(count)
+    found, bound = _weights(sizes, need, cap)
+    columns = np.array(found)
+    m = len(sizes)
+    # a basis of configurations of one class each, to start from; a shade more of some
+    # classes keeps pivots from standing still
+    rhs = need * (1 + 1e-7 * np.random.default_rng(1).random(m))
+    base = np.diag((cap // sizes).astype(float))
+    cost = np.ones(m)
+    inverse = np.diag(1 / base.diagonal())
+    for _ in range(PIVOTS):
+        x = inverse @ rhs
+        price = cost @ inverse
+        worth = columns @ price
+        k, low = int(worth.argmax()), int(price.argmin())
+        if price[low] < -1e-9:  # a class is covered more than it need be
+            enter, what = -np.eye(m)[low], 0.0
+        elif worth[k] > 1 + 1e-9:
+            enter, what = columns[k], 1.0
+        else:
+            enter, what = _knapsack(np.maximum(price, 0), sizes, cap), 1.0
+            best = float(enter @ np.maximum(price, 0))
+            bound = max(bound, float(need @ np.maximum(price, 0)) / best)
+            if best <= 1 + 1e-9 or cost @ x <= bound * (1 + GAP):
+                break
+            columns = np.vstack([columns, enter])
+        u = inverse @ enter
+        up = np.flatnonzero(u > 1e-9)
+        out = int(up[(x[up] / u[up]).argmin()])
+        base[:, out], cost[out] = enter, what
+        row = inverse[out] / u[out]
+        inverse -= np.outer(u, row)
+        inverse[out] = row
+    x = np.maximum(inverse @ need, 0)
+    return [(base[:, i].astype(int), float(x[i])) for i in range(m) if cost[i] and x[i] > 1e-9], bound
 
 
 def best_fit(open_: list[tuple[int, list[int], int]], left: Counter, size: int) -> list[tuple[list[int], int]]:
@@ -143,55 +180,67 @@ def best_fit(open_: list[tuple[int, list[int], int]], left: Counter, size: int)
     return [(list(lens), m) for v in bins.values() for lens, m in v]
 
 
-def plan(hist: dict[int, int], size: int = SIZE, grain: int = GRAIN) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences), covering hist exactly.
+def plan(hist: dict[int, int], size: int = SIZE, grain: int = GRAIN) -> tuple[list[tuple[list[int], int]], float]:
+    """(lengths of one sequence, how many such sequences), covering hist exactly, and
+    the linear program's lower bound (of the length classes).
 
-    A length's class is the nearest multiple of the grain. Rounding deals real lengths
-    to each configuration: the longest left of a class, and as its last piece the
-    longest that still fits, at most two grains shorter than the gap. What no
+    With many lengths, one's class is the nearest multiple of the grain. Rounding deals
+    real lengths to each configuration: the longest left of a class, and as its last
+    piece the longest that still fits, at most two grains shorter than the gap. What no
     configuration takes that well is packed best fit, longest first."""
     stock = np.zeros(size + 1, np.int64)
     for length, n in hist.items():
         stock[length] = n
+    grain = 1 if np.count_nonzero(stock) <= EXACT else grain
     klass = np.maximum(1, (np.arange(size + 1) + grain // 2) // grain)
-    demand = np.bincount(klass - 1, stock, size // grain)[: size // grain].astype(np.int64)
-    frac = configurations(demand, size // grain) if stock.any() else {}
-    dealt: list[tuple[list[int], int]] = []
-    remain = demand.copy()
+    bound, dealt = 0.0, []
 
     def longest(low: int, high: int) -> int:
         """The longest length in stock from low to high, 0 if there is none."""
         at = np.flatnonzero(stock[max(low, 1) : high + 1])
         return max(low, 1) + int(at[-1]) if len(at) and high >= low else 0
 
-    for config, x in sorted(frac.items(), key=lambda p: (-p[1], p[0])):
-        uses = Counter(config)
-        m = min([int(x), *(int(remain[c - 1]) // k for c, k in uses.items())])
-        while m > 0:
-            lens: list[int] = []
-            for c in config[:-1]:
-                n = longest(max(1, c * grain - grain // 2), min(c * grain + grain - grain // 2 - 1, size - sum(lens)))
+    for solve in range(SOLVES):
+        remain = np.bincount(klass, stock, size // grain + 1).astype(np.int64)
+        sizes = np.flatnonzero(remain)
+        if not len(sizes):
+            break
+        solution, least = configurations(sizes, remain[sizes], size // grain)
+        bound = bound or least
+        before = len(dealt)
+        for uses, x in sorted(solution, key=lambda p: -p[1]):
+            config = np.repeat(sizes, uses)[::-1].tolist()
+            whole = int(x + 1e-6)
+            m = min([whole if whole or not solve else int(x + 0.5), *(int(remain[c]) // k for c, k in Counter(config).items())])
+            while m > 0:
+                lens: list[int] = []
+                for c in config[: None if grain == 1 else -1]:
+                    n = longest(max(1, c * grain - grain // 2), min(c * grain + (grain - 1) // 2, size - sum(lens)))
+                    if not n:
+                        break
+                    lens.append(n)
+                    stock[n] -= 1
+                free = size - sum(lens)
+                if grain > 1:
+                    n = longest(free - 2 * grain, free) if len(lens) == len(config) - 1 else 0
+                for y in lens:
+                    stock[y] += 1
                 if not n:
                     break
-                lens.append(n)
-                stock[n] -= 1
-            free = size - sum(lens)
-            n = longest(free - 2 * grain, free) if len(lens) == len(config) - 1 else 0
-            for y in lens:
-                stock[y] += 1
-            if not n:
-                break
-            lens.append(n)
-            t = min([m, *(int(stock[y]) // k for y, k in Counter(lens).items())])
-            if t < 1:
-                break
-            for y, k in Counter(lens).items():
-                stock[y] -= k * t
-                remain[klass[y] - 1] -= k * t
-            dealt.append((lens, t))
-            m -= t
+                if grain > 1:
+                    lens.append(n)
+                t = min([m, *(int(stock[y]) // k for y, k in Counter(lens).items())])
+                if t < 1:
+                    break
+                for y, k in Counter(lens).items():
+                    stock[y] -= k * t
+                    remain[klass[y]] -= k * t
+                dealt.append((lens, t))
+                m -= t
+        if solve and len(dealt) == before:
+            break
     left = Counter({int(n): int(stock[n]) for n in np.flatnonzero(stock)})
-    return best_fit([(size - sum(v), v, m) for v, m in dealt], left, size)
+    return best_fit([(size - sum(v), v, m) for v, m in dealt], left, size), bound
 
 
 def places(sequences: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
@@ -258,7 +307,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE, end:
     pieces = table(spark, docs.mapInArrow(_pieces(path, size, end), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     hist.pop(size, None)
-    sequences = plan(hist, size)
+    sequences, _ = plan(hist, size)
     book = spark.sparkContext.broadcast(places(sequences))
     rank = ranked(spark, pieces, "length", ["doc_id", "piece"])
     return rank.mapInArrow(_place(book, sum(m for _, m in sequences)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
