@@ -2,8 +2,10 @@
 
 A document is contaminated by an item of n words if one of its n-word windows is
 within word edit distance floor(0.2 n) of it (words: ASCII-lower-cased runs of
-letters, digits and non-ASCII bytes). Items of fewer than ``MIN_WORDS`` words are
-too short to tell a leak from chance and are matched exactly, from 5 words up.
+letters, digits and non-ASCII bytes). A window may hang over a document's ends, each
+word missing there counting as an edit: so leaks cut short are found. Items of fewer
+than ``MIN_WORDS`` words are too short to tell a leak from chance and are matched
+exactly. Items without words match nothing.
 
 1. Regions. If a window is within k edits of an item, one of k + 1 equal blocks
    of the item stands in it unchanged; so only the neighbourhood of such blocks
@@ -17,7 +19,9 @@ too short to tell a leak from chance and are matched exactly, from 5 words up.
 
 Benchmarks are read in blocks of ``ITEMS`` items, each broadcast: its size is
 bounded whatever the benchmark's size. Null or empty texts match nothing; items
-with equal texts are all reported; rows without doc_id keep a null doc_id.
+with equal texts are all reported, repeated rows of the benchmark once; an item
+without item_id is reported under a null item_id, and rows without doc_id keep a
+null doc_id.
 """
 
 from __future__ import annotations
@@ -130,7 +134,7 @@ class Book:
     def __init__(self, ids: list, texts: list):
         data, offs = text_buffer(pa.array(texts, pa.string()))
         h, at = word_hashes(data, offs)
-        self.items = [(ids[i], h[at[i] : at[i + 1]]) for i in range(len(ids)) if at[i + 1] - at[i] >= 5]
+        self.items = [(ids[i], h[at[i] : at[i + 1]]) for i in range(len(ids)) if at[i + 1] > at[i]]
         blocks: dict[int, dict[int, list[tuple[int, int]]]] = {}
         by_size: dict[int, list[int]] = {}
         for x, (_, w) in enumerate(self.items):
@@ -154,8 +158,9 @@ class Book:
                     t.setdefault(key, []).append(x)
 
     def windows(self, h: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
-        """By length: first words of all windows that hold an unchanged block of an item."""
-        found: dict[int, set[int]] = {}
+        """By length: (row, first word) of all windows that hold an unchanged block of an
+        item, those that hang over the row's ends by the edits allowed included."""
+        found: dict[int, set[tuple[int, int]]] = {}
         for q, d in self.blocks.items():
             g = grams(h, q)
             near = np.flatnonzero(self.sieve[q][g >> U(44)])
@@ -163,60 +168,96 @@ class Book:
                 for n, o in d.get(key, ()):
                     row = int(np.searchsorted(at, p, "right")) - 1
                     k = budget(n)
-                    lo, hi = max(int(at[row]), p - o - k), min(int(at[row + 1]) - n, p - o + k)
+                    first, end = int(at[row]), int(at[row + 1])
+                    lo, hi = max(first - k, p - o - k), min(end - n + k, p - o + k)
                     if hi >= lo:
-                        found.setdefault(n, set()).update(range(lo, hi + 1))
+                        found.setdefault(n, set()).update((row, x) for x in range(lo, hi + 1))
         return {n: np.array(sorted(s), np.int64) for n, s in found.items()}
 
     def search(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, distance, first word, words): each row's best window per item."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for n, first in self.windows(h, at).items():
+        for n, found in self.windows(h, at).items():
             table, most = self.tables[n], budget(n)
-            for lo in range(0, len(first), 4096):
-                part = first[lo : lo + 4096]
-                w = h[part[:, None] + np.arange(n)]
-                rows = np.searchsorted(at, part, "right") - 1
-                for r, p, x, keys in zip(rows.tolist(), part.tolist(), w, buckets(w).tolist()):
+            for lo in range(0, len(found), 4096):
+                rows, part = found[lo : lo + 4096].T
+                first, end = at[rows], at[rows + 1]
+                place = part[:, None] + np.arange(n)
+                inside = (place >= first[:, None]) & (place < end[:, None])
+                w = np.where(inside, h[np.where(inside, place, 0)], U(0))  # no word hashes to 0
+                starts, size = np.maximum(part, first) - first, inside.sum(axis=1)
+                for r, p, m, x, keys in zip(rows.tolist(), starts.tolist(), size.tolist(), w, buckets(w).tolist()):
                     for item in {i for key in keys for i in table.get(key, ())}:
                         d = edit_distance(self.items[item][1].tolist(), x.tolist(), most)
                         if d <= most:
-                            got = (d, p - int(at[r]), n)
+                            got = (d, p, m)
                             best[r, item] = min(best.get((r, item), got), got)
         return [(r, item, *v) for (r, item), v in sorted(best.items())]
 
 
-def _search(books):
+def _found(book: Book, text: pa.Array):
+    """(row, item_id, distance, first word, words) over a column of texts."""
+    data, offs = text_buffer(text)
+    for i, j in groups(offs):
+        h, at = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        for r, item, *rest in book.search(h, at):
+            yield i + r, book.items[item][0], *rest
+
+
+def _clean(book):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r for r, *_ in _found(book.value, b.column("text"))]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _search(book):
     def run(batches):
         for b in batches:
-            data, offs = text_buffer(b.column("text"))
             out: list[list] = [[] for _ in range(5)]
             docs = b.column("doc_id")
-            for i, j in groups(offs):
-                h, at = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                for r, item, d, p, n in books.value.search(h, at):
-                    for c, v in zip(out, (docs[i + r].as_py(), books.value.items[item][0], d, p, n)):
-                        c.append(v)
+            for r, *rest in _found(book.value, b.column("text")):
+                for c, v in zip(out, (docs[r].as_py(), *rest)):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "distance", "first_word", "n_words"])
 
     return run
 
 
+def _books(spark: SparkSession, benchmark: DataFrame):
+    """The benchmark in broadcast blocks of about ITEMS items."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    blocks = -(-items.count() // ITEMS)
+    numbered = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
+    for b in range(blocks):
+        rows = numbered.where(F.col("b") == b).orderBy("item_id", "text").collect()  # about ITEMS rows
+        yield spark.sparkContext.broadcast(Book([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, first_word, n_words): the best window of each
     contaminated document for each item it holds."""
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-items.count() // ITEMS)
-    numbered = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
     out = spark.createDataFrame([], "doc_id long, item_id long, distance long, first_word long, n_words long")
-    for b in range(blocks):
-        rows = numbered.where(F.col("b") == b).orderBy("item_id", "text").collect()  # about ITEMS rows
-        book = spark.sparkContext.broadcast(Book([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        out = out.union(docs.mapInArrow(_search(book), out.schema)) if b else docs.mapInArrow(_search(book), out.schema)
+    for b, book in enumerate(_books(spark, benchmark)):
+        found = docs.mapInArrow(_search(book), out.schema)
+        out = out.union(found) if b else found
     return out
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item; by
+    the same search, in one pass a block of items and without a shuffle."""
+    prepare(spark)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    for book in _books(spark, benchmark):
+        docs = docs.mapInArrow(_clean(book), docs.schema)
+    return docs
+
+
 def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
