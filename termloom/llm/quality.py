@@ -16,7 +16,10 @@
    nor the abuse probability reaches one half. Documents without words are not.
 
 There are two such models, because junk and abuse are independent failings.
-Null text counts as empty. Rows without doc_id are voted on and scored alike.
+Null text counts as empty. Rows without doc_id are voted on and scored alike; if none
+has one, the scorers know only the votes. Rows that repeat a doc_id are scored each,
+and one of them may be in the sample. Columns of docs named like those added
+(n_words, p_junk, p_abuse, keep) are replaced; all others are passed on.
 """
 
 from __future__ import annotations
@@ -301,6 +304,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame | None):
     feats = {r["doc_id"]: r["idx"] for r in got.mapInArrow(_features, "doc_id long, idx binary").collect()}  # SAMPLE rows at most
     rows = [r for r in sample.orderBy("doc_id").collect() if r["doc_id"] in feats]
     idx = [np.frombuffer(feats[r["doc_id"]], np.uint32) for r in rows]
+    if not rows:  # no row has a doc_id: the vote patterns alone train the scorers
+        rows, idx = counted, [np.zeros(0, np.uint32)] * len(counted)
     v = np.stack([np.frombuffer(r["votes"], np.int8) - 1 for r in rows])
     models = []
     for name, (cols, judge) in views.items():
