@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from termloom.llm import components, decontam, licenses, neardup, packing, pii, quality, sharding, suffixdedup, tokens, topk, wavelet
@@ -244,6 +245,59 @@ def test_every_license_sentence_is_known_and_has_a_cue():
         assert licenses.identify(s.replace("*", "x y")) == name and licenses.CUE.search(s)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("// SPDX-License-Identifier: MIT", ["MIT"]),
+        ("/* SPDX-License-Identifier: BSD-3-Clause */", ["BSD-3-Clause"]),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0", ["MIT", "Apache-2.0", "GPL-2.0"]),
+        ("SPDX-License-Identifier: LicenseRef-own", []),
+        ("This project is released under the MIT License.", ["MIT"]),
+        ("The software is licensed under the terms of the\nGNU General Public License, version 3, or later.", ["GPL-3.0"]),
+        ("Released under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+        ("This dataset is available under the Creative Commons Attribution 4.0 International Licence.", ["CC-BY-4.0"]),
+        ("The bridge lies under the MIT building.", []),
+    ],
+)
+def test_tags_and_names(text, want):
+    assert [x[0] for x in licenses.scan(text)] == want
+
+
+def test_rules_match_brute_force():
+    """Random orders of known sentences and others, one a line, against a plain matcher."""
+    rng = random.Random(8)
+    known = [(name, s.replace("*", "some words")) for name, s in licenses.SENTENCES if not s.endswith("*")]
+    for _ in range(300):
+        names, lines = [], []
+        for _ in range(rng.randint(1, 14)):
+            name, s = rng.choice(known) if rng.random() < 0.6 else (None, "Quite another sentence.")
+            names.append(name)
+            lines += [s, ""]
+        want, i = [], 0
+        while i < len(names):
+            for licence, rule in licenses.RULES:
+                at = [i]
+                if names[i] != rule[0]:
+                    continue
+                for x in rule[1:]:
+                    at.append(next((j for j in range(at[-1] + 1, min(len(names), at[-1] + licenses.GAP + 2)) if names[j] == x), -1))
+                    if at[-1] < 0:
+                        break
+                if at[-1] >= 0:
+                    want.append(licence)
+                    i = at[-1]
+                    break
+            i += 1
+        assert [x[0] for x in licenses.scan("\n".join(lines))] == want
+
+
+def test_license_scan_of_odd_rows(spark, docs, rows):
+    got = licenses.license_scan(spark, docs).collect()
+    assert Counter((r.doc_id, r.n_rules, r.licences) for r in got) == Counter(
+        (r.doc_id, len(x), ",".join(sorted({n for n, _, _ in x}))) for r in rows for x in [licenses.scan(r.text or "")]
+    )
+
+
 # --- 4 -------------------------------------------------------------------------
 def test_shards(spark, docs, rows):
     got = sharding.shard(spark, docs, 4).collect()
@@ -267,24 +321,35 @@ def test_hilbert_curve_visits_neighbours():
 
 
 # --- 5 -------------------------------------------------------------------------
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(120)]
     rows += [(200, None), (201, [1.0, None]), (202, [float("nan"), 1.0]), (203, [float("inf")]), (204, []), (None, [1.0]), (205, [0.0] * 6)]
-    df = spark.createDataFrame(rows, "id long, v array<float>")
-    good = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in rows if i is not None and v and i not in (201, 202, 203)}
-    want = set()
-    for q in [i for i in good if i % 5 == 0]:
-        best = sorted(((-int(good[q] @ good[c]), c) for c in good if c != q))[:10]
-        want |= {(q, k + 1, c, -s) for k, (s, c) in enumerate(best)}
-    got = topk.exact_topk(spark, df, df.where("id % 5 = 0"), 10)
-    assert set(map(tuple, got.collect())) == want
+    rows += [rows[0], rows[0], (5, [float(x) for x in rng.integers(-3, 4, 6) / 4]), rows[7]]  # repeated rows and ids
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "id long, v array<float>, rank int, no long, qb long").repartition(3)
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in rows if i is not None and v and i not in (201, 202, 203)]
+    want = Counter()
+    for x, (q, v) in enumerate(good):
+        if q % 5 == 0:
+            best = sorted((-int(v @ w), c) for y, (c, w) in enumerate(good) if y != x)[:10]
+            want.update((q, k + 1, c, -s) for k, (s, c) in enumerate(best))
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    got = topk.exact_topk(spark, df, F.col("id") % 5 == 0, 10)
+    assert Counter(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("big", [3e9, 1e300])
+def test_topk_scores_beyond_a_long_raise(spark, big):
+    df = spark.createDataFrame([(0, [big]), (1, [big])], "id long, v array<double>")
+    with pytest.raises(Exception, match="exceed"):
+        topk.exact_topk(spark, df, F.col("id") == 0).collect()
 
 
 def test_topk_with_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "id long, v array<float>")
-    assert sorted(map(tuple, topk.exact_topk(spark, df, df, 10).collect())) == [(0, 1, 5, 1024 * 2048), (5, 1, 0, 1024 * 2048)]
-    assert topk.exact_topk(spark, df.limit(0), df.limit(0), 10).count() == 0
+    assert sorted(map(tuple, topk.exact_topk(spark, df, F.lit(True), 10).collect())) == [(0, 1, 5, 1024 * 2048), (5, 1, 0, 1024 * 2048)]
+    assert topk.exact_topk(spark, df.limit(0), F.lit(True), 10).count() == 0
 
 
 def test_threshold_walk_stops_early():
@@ -294,7 +359,7 @@ def test_threshold_walk_stops_early():
     vecs[:20, 0] = 1000
     seen = []
     ids = np.arange(4000)
-    got = list(topk.threshold_topk(ids, vecs, np.array([-1]), np.array([[1, 0, 0]]), 10))
+    got = list(topk.threshold_topk(ids, ids, vecs, np.array([-1]), np.array([[1, 0, 0]]), 10))
     seen.append(got[0][1].tolist())
     assert seen == [list(range(10))]
 
@@ -372,7 +437,9 @@ def test_decontamination_recall(spark):
         hay[40:40] = x
         rows.append((d, " ".join(hay).capitalize(), None, None))
         n = len(w)
-        best = min(_distance(w, [h.lower() for h in hay[s : s + n]]) for s in range(len(hay) - n + 1))
+        most = int(0.2 * n)
+        hay_ = [""] * most + [h.lower() for h in hay] + [""] * most
+        best = min(_distance(w, hay_[s : s + n]) for s in range(len(hay_) - n + 1))
         if best <= int(0.2 * n):
             want[d, i] = best
     rows += [(900, None, None, None), (901, "", None, None), (902, " ".join(word() for _ in range(500)), None, None)]
@@ -383,6 +450,54 @@ def test_decontamination_recall(spark):
     assert all(k in got for k, v in want.items() if v == 0)
 
 
+@pytest.mark.parametrize("n", [12, 30, 60])
+@pytest.mark.parametrize("kind", ["change", "drop", "add"])
+def test_recall_at_the_greatest_distance(n, kind):
+    """Of windows at exactly the edits allowed, at least 0.9 are found."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    items = [[word() for _ in range(n)] for _ in range(40)]
+    book = decontam.Book(list(range(40)), [" ".join(w) for w in items])
+    import pyarrow as pa
+
+    found = total = 0
+    for _ in range(3):
+        for i, w in enumerate(items):
+            k = int(0.2 * n) if kind == "change" else int(0.2 * n) // 2  # a drop or an addition costs one edit at a window's end as well
+            x, at = list(w), sorted(rng.sample(range(1, n - 1), k), reverse=True)
+            for p in at:
+                x[p : p + (kind != "add")] = [word()] if kind != "drop" else []
+            hay = [word() for _ in range(20)] + x + [word() for _ in range(20)]
+            found += i in {g[1] for g in decontam._found(book, pa.array([" ".join(hay)]))}
+            total += 1
+    assert found >= 0.9 * total, (found, total)
+
+
+def test_short_items_cut_leaks_and_missing_ids(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    long_, hay = [word() for _ in range(30)], [word() for _ in range(50)]
+    rows = [
+        (1, " ".join(hay + long_[:28]), None, None),
+        (2, " ".join(long_[3:] + hay), None, None),
+        (3, " ".join(long_[2:27]), None, None),
+        (4, " ".join(hay[:20] + ["quite", "short"] + hay[20:]), None, None),
+        (5, " ".join(hay + long_[:20]), None, None),
+        (6, " ".join(hay[:9] + ["alone"] + hay[9:]), None, None),
+        (None, " ".join(hay + long_), None, None),
+        (8, " ".join(long_ + hay) + " " + " ".join(word() for _ in range(9000)), None, None),
+        (8, None, None, None),
+        (9, "", None, None),
+    ]
+    bench = spark.createDataFrame([(1, " ".join(long_), 7), (1, " ".join(long_), 8), (2, " ".join(long_), 8), (3, "Quite short!", 1), (None, "alone", 1), (5, "...", 1), (6, None, 1)], "item_id long, text string, distance int")
+    docs = documents(spark, rows)
+    got = Counter((r.doc_id, r.item_id, r.distance) for r in decontam.contaminated(spark, docs, bench).collect())
+    whole = [(d, i, k) for d, k in ((1, 2), (2, 3), (3, 5), (None, 0), (8, 0)) for i in (1, 2)]
+    assert got == Counter([*whole, (4, 3, 0), (6, None, 0)])
+    kept = decontam.uncontaminated(spark, docs, bench)
+    assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, rows[4][1]), (8, None), (9, "")])
+
+
 def _distance(a, b):
     prev = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -452,8 +567,15 @@ def test_posteriors_train_the_scorer_however_many_rows_are_judged(spark, sf, mon
 
 
 def test_quality_odd_rows(spark, docs, rows):
-    got = quality.classify(spark, docs, None).collect()
+    clash = docs.withColumns({"keep": F.lit("x"), "p_junk": F.lit("y"), "votes": F.lit(1), "idx": F.lit(2)})
+    frame = quality.classify(spark, clash, None)
+    assert frame.columns == [*docs.columns, "votes", "idx", "n_words", "p_junk", "p_abuse", "keep"]
+    got = frame.collect()
     assert len(got) == len(rows) and all(not r.keep for r in got if not (r.text or "").strip())
+    plain = Counter((r.doc_id, r.text, r.keep) for r in quality.classify(spark, docs, None).collect())
+    assert Counter((r.doc_id, r.text, r.keep) for r in got) == plain
+    nameless = quality.classify(spark, docs.withColumn("doc_id", F.lit(None).cast("long")), None).collect()
+    assert len(nameless) == len(rows) and all(not r.keep for r in nameless if not (r.text or "").strip())
     assert quality.classify(spark, empty(spark), None).count() == 0
 
 
@@ -523,7 +645,7 @@ def test_packing(spark, docs, rows):
 @given(st.dictionaries(st.integers(1, 255), st.integers(1, 400), max_size=30))
 def test_plan_covers_the_histogram(hist):
     got = Counter()
-    for lens, m in packing.plan(hist, size=256, grain=8):
+    for lens, m in packing.plan(hist, size=256, grain=8)[0]:
         assert sum(lens) <= 256
         for x in lens:
             got[x] += m
@@ -533,10 +655,40 @@ def test_plan_covers_the_histogram(hist):
 def test_plan_is_near_the_bound():
     rng = random.Random(2)
     hist = dict(Counter(min(4095, int(rng.expovariate(1 / 900)) + 1) for _ in range(20_000)))
-    used = sum(m for _, m in packing.plan(hist))
+    used = sum(m for _, m in packing.plan(hist)[0])
     assert used <= 1.01 * -(-sum(k * n for k, n in hist.items()) // 4096)
 
 
+@pytest.mark.parametrize(
+    "hist, least",
+    [
+        ({1400: 999, 1300: 999}, 750),
+        ({1400: 3000, 1300: 3000}, 2250),
+        ({2100: 500, 1000: 700, 900: 333}, 550),
+        ({1366: 1000, 1365: 1000, 1: 50}, 750),
+        ({3000: 7, 1500: 5, 600: 11}, 10),
+        ({4000: 1}, 1),
+        ({}, 0),
+    ],
+)
+def test_plan_of_few_lengths_is_the_linear_programs(hist, least):
+    sequences, bound = packing.plan(hist)
+    used = sum(m for _, m in sequences)
+    assert least - 1 < bound <= least + 1e-6
+    assert used <= least + len(hist) and used <= np.ceil(bound - 1e-6) + len(hist)
+    assert used == least
+
+
+def test_bound_is_below_every_cover():
+    rng = random.Random(4)
+    for _ in range(6):
+        hist = {rng.randint(20, 255): rng.randint(1, 60) for _ in range(rng.randint(1, 8))}
+        sequences, bound = packing.plan(hist, size=256)
+        greedy = packing.best_fit([], Counter(hist), 256)
+        assert bound <= min(sum(m for _, m in sequences), sum(m for _, m in greedy)) + 1e-6
+        assert sum(m for _, m in sequences) <= np.ceil(bound - 1e-6) + len(hist)
+
+
 # --- all -----------------------------------------------------------------------
 def test_empty_tables(spark):
     e = empty(spark)

@@ -38,6 +38,18 @@ def test_pipeline_keeps_what_it_should(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(before)
 
 
+def test_one_row_of_each_group_stays(spark, sf):
+    """Also of rows that share a doc_id or have none."""
+    words = " ".join(f"w{i}" for i in range(60))
+    near = words.replace("w30", "other")
+    own = " ".join(f"x{i}" for i in range(60))
+    rows = [(5, words, "en", "a"), (7, near, "en", "a"), (None, words, "en", "a"), (None, own, "en", "a"), (None, own, "en", "a"), (9, own + " y", "en", "a"), (9, "another text", "en", "a"), (9, "another text", "en", "a"), (None, None, "en", "a"), (11, "", "en", "a")]
+    got = sorted(((r.doc_id, r.text) for r in P.keep_distinct(spark, documents(spark, rows).select(*P.COLUMNS), sf).collect()), key=str)
+    of_own = [x for x in got if x[1] and x[1].startswith("x0")]
+    assert len(of_own) == 1 and of_own[0] in [(None, own), (9, own + " y")]
+    assert sorted([x for x in got if x not in of_own], key=str) == sorted([(5, words), (9, "another text"), (None, None), (11, "")], key=str)
+
+
 def test_stages_on_odd_rows(spark, sf):
     docs = documents(spark).select(*P.COLUMNS)
     for _, stage in P.STAGES:
