@@ -22,15 +22,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of each near-duplicate group."""
-    gone = neardup.near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each near-duplicate group, the one of least doc_id. Rows that share a
+    doc_id or have none are told apart by their texts, and count after all others."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"), F.lit(True).alias("odd")).checkpoint()
+    if ids.isEmpty():
+        gone = neardup.near_duplicates(spark, docs).where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    by_text = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left")
+    rows = rows.withColumn("node", F.when(F.col("odd"), by_text).otherwise(F.col("doc_id")))
+    gone = neardup.near_duplicates(spark, rows.select(F.col("node").alias("doc_id"), "text")).where(~F.col("kept")).select(F.col("doc_id").alias("node"))
+    left = rows.join(gone, "node", "left_anti")
+    return left.where("odd is null").union(left.where("odd").dropDuplicates(["node"])).select(*COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    gone = decontam.contaminated(spark, docs, common.read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return decontam.uncontaminated(spark, docs.select(*COLUMNS), common.read(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
