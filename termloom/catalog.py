@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import composite, relational, retrieval
+from .plans import composite, parts, relational, retrieval
 
-QUERIES = retrieval.QUERIES | relational.QUERIES | composite.QUERIES
-ORACLES = retrieval.ORACLES | relational.ORACLES | composite.ORACLES
+QUERIES = retrieval.QUERIES | relational.QUERIES | composite.QUERIES | parts.QUERIES
+ORACLES = retrieval.ORACLES | relational.ORACLES | composite.ORACLES | parts.ORACLES

@@ -14,6 +14,18 @@ def canonical(s: Column) -> Column:
     return F.when(t.rlike(shape), F.when(tail == "", F.concat(*head)).otherwise(F.concat(*head, F.lit("."), tail)))
 
 
+#: What the source writes for a row's change, and its short form.
+STATUS = {"代碼新增": "new", "英文名稱修改": "en", "中文名稱修改": "zh"}
+
+
+def status(s: Column) -> Column:
+    """A row's change as a short form; null for none and for unknown ones."""
+    out = F.lit(None).cast("string")
+    for long, short in STATUS.items():
+        out = F.when(F.trim(s) == long, short).otherwise(out)
+    return out
+
+
 def dotted(s: Column) -> Column:
     t = F.upper(F.trim(s))
     return F.when((F.length(t) <= 3) | t.contains("."), t).otherwise(F.concat(F.substring(t, 1, 3), F.lit("."), F.substr(t, F.lit(4))))

@@ -39,8 +39,8 @@ BRITISH = [
 STOP_WORDS = ["of", "the", "a", "an", "and", "or", "in", "on", "to", "by", "for", "as", "at", "from", "into", "nos", "nec"]
 
 # --- fixed values: the code points that count as Chinese characters ------------
-CJK = "㐀-鿿豈-﫿"
-CJK_COMPATIBILITY = "豈-﫿"
+CJK = "\u3400-\u9fff\uf900-\ufaff"
+CJK_COMPATIBILITY = "\uf900-\ufaff"
 
 # --- fixed values: vocabulary sources in order of priority, with weights -------
 SOURCES = [
@@ -151,3 +151,33 @@ FOREIGN_BODY = r"\bwith foreign body\b"
 CONTENT_STOP = "unspecified other specified without with classified elsewhere encounter initial subsequent sequela disease disorder condition part site unilateral bilateral".split()
 SITE_STOP = "right left side shoulder knee hip elbow wrist ankle hand foot eye ear breast lung limb upper lower extremity extremities leg arm joint region finger thumb toe axilla".split()
 PREGNANCY = "妊娠|懷孕|孕|產|胎|分娩|哺乳|pregnan|obstet|puerper|trimester|labou?r|deliver|gestation|partum|fetal|fetus|abortion|ectopic|placenta|eclampsia|lactation"
+
+#: First part of a link's path, and the view it opens.
+ROUTES = {
+    "q": "search",
+    "h": "heading",
+    "c": "code",
+    "p": "pcs",
+    "m14": "map14",
+    "m9": "map9",
+    "cat": "cat",
+    "changes": "changes",
+    "about": "about",
+    "fav": "fav",
+    "derm": "derm",
+    "batch": "batch",
+}
+#: Views without argument.
+PLAIN_VIEWS = ["home", "changes", "about", "fav", "batch"]
+
+#: What kinds of notes and changes are called.
+NOTE_LABELS = {
+    "incl": "包含（Inclusion terms）",
+    "includes": "本類包含",
+    "excl1": "Excludes1（不可與本碼同時編）",
+    "excl2": "Excludes2（不屬本碼，但可同時編）",
+    "codeFirst": "先編（Code first）",
+    "useAdd": "另加編碼（Use additional code）",
+    "codeAlso": "亦編（Code also）",
+}
+STATUS_LABELS = {"new": "2023 新增碼", "en": "英文名稱修改", "zh": "中文名稱修改"}

@@ -31,12 +31,19 @@ def metrics(ranks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
-    """Exact percentile: the value at position floor(n * share) of the sorted values,
-    found by row numbers, so no group is gathered into one array."""
+    """Exact percentile: the value at position floor(n * share) of the sorted values.
+    Equal values are counted first; then values are dealt by ranges, ranges before give
+    their counts, and only the range that holds the position is looked into."""
+    n = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    spread = n.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn("_p", F.spark_partition_id()).checkpoint()
+    per = spread.groupBy(*by, "_p").agg(F.sum("_n").alias("_m"))  # groups times partitions
     w = Window.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(value)) - 1
-    n = F.count("*").over(w)
-    return df.withColumn("_at", at).withColumn("_n", n).where(F.col("_at") == F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)).select(*by, F.col(value).alias("percentile"))
+    upto = F.sum("_m").over(w.orderBy("_p"))
+    target = F.least(F.floor(F.sum("_m").over(w) * share), F.sum("_m").over(w) - 1)
+    at = per.withColumn("_before", upto - F.col("_m")).withColumn("_at", target).where((F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_m")))
+    inside = spread.join(at.drop("_m"), [*by, "_p"])
+    run = F.col("_before") + F.sum("_n").over(w.orderBy(value))
+    return inside.withColumn("_run", run).where(F.col("_run") > F.col("_at")).groupBy(*by).agg(F.min(value).alias("percentile"))
 
 
 def regressions(now: DataFrame, before: DataFrame, by: str, most: float = 1.0) -> DataFrame:

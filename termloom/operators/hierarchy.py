@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import codes as C
 
+RANGES = 10_000  # ranges that are broadcast; each is two short strings and a name
+
 
 def prefix_join(left: DataFrame, prefix: str, right: DataFrame, code: str, how: str = "inner") -> DataFrame:
     """Rows of left with all rows of right whose code begins with left's prefix
@@ -46,15 +48,56 @@ def descendants(codes: DataFrame, roots: DataFrame, root: str = "root") -> DataF
 
 def by_range(codes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Codes in each (first, last), descendants of last included. Ranges are few
-    (a query's, or the chapters'), so they are the broadcast side; a range table
-    without such a bound goes through range_join on stems instead."""
-    return codes.join(F.broadcast(ranges), C.in_range(F.col("code"), F.col("first"), F.col("last")))
+    (a query's, or the chapters'): up to ``RANGES`` of them are the broadcast side. More
+    are spelled out by first character, which makes an equi-join with a residual test."""
+    within = C.in_range(F.col("code"), F.col("first"), F.col("last"))
+    if ranges.limit(RANGES + 1).count() <= RANGES:
+        return codes.join(F.broadcast(ranges), within)
+    return codes.withColumn("_h", F.ascii("code")).join(_by_head(ranges), "_h").where(within).drop("_h")
 
 
 def range_join(codes: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Each code with the chapter whose three-character range holds its stem."""
+    """Each code with the chapter whose three-character range holds its stem; up to
+    ``RANGES`` chapters are broadcast."""
     stem = F.substring("code", 1, 3)
-    return codes.join(F.broadcast(chapters), (stem >= F.col("first")) & (stem <= F.col("last")), "left")
+    within = (stem >= F.col("first")) & (stem <= F.col("last"))
+    if chapters.limit(RANGES + 1).count() <= RANGES:
+        return codes.join(F.broadcast(chapters), within, "left")
+    stems = codes.select(stem.alias("_stem")).distinct()
+    found = stems.withColumn("_h", F.ascii("_stem")).join(_by_head(chapters), "_h").where((F.col("_stem") >= F.col("first")) & (F.col("_stem") <= F.col("last"))).drop("_h")
+    return codes.withColumn("_stem", stem).join(found, "_stem", "left").drop("_stem")
+
+
+def _by_head(ranges: DataFrame) -> DataFrame:
+    """Ranges once for each first character they reach."""
+    heads = F.sequence(F.ascii("first"), F.greatest(F.ascii("first"), F.ascii("last")))
+    return ranges.withColumn("_h", F.explode(heads))
+
+
+def cluster(df: DataFrame, code: str = "code", files: int | None = None) -> DataFrame:
+    """Rows in code order over range partitions, so that a written table's files and
+    row groups hold narrow code ranges and a lookup reads few of them."""
+    spread = df.repartitionByRange(files, code) if files else df.repartitionByRange(code)
+    return spread.sortWithinPartitions(code)
+
+
+def group_sizes(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) in order of size, the largest first, ties by key."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(key))
+
+
+def prefixes(codes: DataFrame, widths: tuple[int, ...] = (3, 4), code: str = "code") -> DataFrame:
+    """The set of codes and of their first characters, as many as widths say."""
+    every = F.array(F.col(code), *[F.substring(code, 1, w) for w in widths])
+    return codes.select(F.explode(every).alias("prefix")).distinct()
+
+
+def below_roots(codes: DataFrame, roots: DataFrame, code: str = "code") -> DataFrame:
+    """Rows whose code is one of the roots or below one; their first three characters agree."""
+    r = roots.select(F.col("code").alias("_root")).distinct()
+    chain = codes.select(F.col(code).alias("_c")).distinct().withColumn("_root", F.explode(F.transform(F.sequence(F.lit(3), F.greatest(F.length("_c"), F.lit(3))), lambda i: F.substring(F.col("_c"), F.lit(1), i))))
+    known = chain.join(r, "_root", "left_semi").select(F.col("_c").alias(code)).distinct()
+    return codes.join(known, code, "left_semi")
 
 
 def lca(members: DataFrame, codes: DataFrame, key: str) -> DataFrame:
@@ -83,12 +126,14 @@ def path_codes(paths: DataFrame, path: str = "path", code: str = "code") -> Data
 
 
 def siblings(codes: DataFrame, width: int = 4, most: int = 80) -> DataFrame:
-    """(code, sibling): codes that share the first ``width`` characters, the first ``most``."""
-    stem = F.substring("code", 1, width)
-    a = codes.select("code", stem.alias("stem"))
-    b = codes.select(F.col("code").alias("sibling"), stem.alias("stem"))
-    w = Window.partitionBy("code").orderBy("sibling")
-    return a.join(b, "stem").where("code <> sibling").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("code", "sibling")
+    """(code, sibling): codes that share the first ``width`` characters, the first
+    ``most``. Only a stem's first ``most`` + 1 codes can be anyone's, so a stem of any
+    size meets that many and not itself."""
+    a = codes.select("code", F.substring("code", 1, width).alias("stem"))
+    few = top_rows(a.distinct(), ["stem"], [F.asc("code")], most + 1, "n").select("stem", F.col("code").alias("sibling"), "n")
+    mine = a.distinct().join(few, "stem").where("code <> sibling")
+    own = few.select(F.col("sibling").alias("code"), F.col("n").alias("own"))
+    return mine.join(own, "code", "left").where((F.col("n") <= most) | F.col("own").isNotNull() & (F.col("own") <= most)).select("code", "sibling")
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:

@@ -39,7 +39,7 @@ def spellfix(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return near.groupBy("word", "tok").agg(F.min_by("token", order).alias("fix"))
 
 
-def corrected(q: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
+def corrected(q: DataFrame, ix: Index, fold: bool = True) -> DataFrame:
     """q(qid, text) with spelling mended; in queries of several words, approved
     abbreviations are spelled out first."""
     w = q.select("qid", F.split(X.normalise(F.col("text"), fold), " ").alias("ws"))
@@ -108,7 +108,7 @@ def _segmented(text: pd.Series, phrases: pd.Series, words: pd.Series) -> pd.Seri
     return pd.Series([[{"text": a, "mapped": m} for a, m in row] for row in out], dtype=object)
 
 
-def segments(q: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
+def segments(q: DataFrame, ix: Index, fold: bool = True) -> DataFrame:
     """q(qid, atm) to (qid, whole, seg, text, key, mapped): one row per segment.
     Which spans are phrases, and which pieces are words, is found by joins."""
     t = q.select("qid", X.normalise(F.col("atm"), fold).alias("t"))
@@ -136,7 +136,7 @@ def segments(q: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
 
 
 # --- free text -----------------------------------------------------------------
-def query_tokens(q: DataFrame, ix: Index, fold: bool = False) -> tuple[DataFrame, DataFrame]:
+def query_tokens(q: DataFrame, ix: Index, fold: bool = True) -> tuple[DataFrame, DataFrame]:
     """(qid, qi, token, alt) for query tokens that some document has, numbered, and
     (qid, live). A missing last English word stands for the first 40 words it begins."""
     t = q.select("qid", X.normalise(F.col("text"), fold).alias("t")).withColumn("en", X.english(F.col("t")))
@@ -219,7 +219,7 @@ def whole_mapping(sets: DataFrame, concepts: DataFrame, scores: DataFrame, ix: I
     return here.union(kids.select("qid", F.col("child").alias("code"), F.col("s") * V.DEFAULT_CHILD, F.lit("atm"), F.lit(True), F.lit(True)))
 
 
-def segmented_mapping(segs: DataFrame, sets: DataFrame, scores: DataFrame, live: DataFrame, alts: DataFrame, fold: bool = False) -> DataFrame:
+def segmented_mapping(segs: DataFrame, sets: DataFrame, scores: DataFrame, live: DataFrame, alts: DataFrame, fold: bool = True) -> DataFrame:
     """Candidates of queries of several segments: every segment must hold, by its
     concept set or by three quarters of its live words; and pure intersections."""
     many = segs.groupBy("qid").agg(F.count("*").alias("n_segs"), F.bool_and("mapped").alias("all_mapped")).where("n_segs > 1")
@@ -240,7 +240,7 @@ def segmented_mapping(segs: DataFrame, sets: DataFrame, scores: DataFrame, live:
     return and_.union(inter.select("qid", "code", F.col("w") * V.SEGMENT_BONUS * 2, F.lit("atm-and"), F.lit(True), F.lit(False)))
 
 
-def drop_negated(cands: DataFrame, q: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
+def drop_negated(cands: DataFrame, q: DataFrame, ix: Index, fold: bool = True) -> DataFrame:
     """Candidates whose texts hold any word the query excludes go."""
     neg = q.select("qid", F.explode("neg").alias("w")).select("qid", F.explode(X.tokens(X.normalise(F.col("w"), fold))).alias("token")).distinct()
     hit = neg.join(ix.postings.where("not gap").select("token", "code"), "token").select("qid", "code").distinct()
@@ -276,7 +276,7 @@ def anchors(concepts: DataFrame, ix: Index) -> DataFrame:
     return a.join(names, "anchor", "left").select("qid", "cat", "anchor", F.when(F.size("content") > 0, F.col("content")).alias("content"))
 
 
-def lateralize(cands: DataFrame, q: DataFrame, concepts: DataFrame, scores: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
+def lateralize(cands: DataFrame, q: DataFrame, concepts: DataFrame, scores: DataFrame, ix: Index, fold: bool = True) -> DataFrame:
     """Re-rank for queries with a side: multiply by how side, site, encounter and
     subtype agree, then offer the matching codes of the best families."""
     sided = q.where("side.lat is not null").select("qid", "side", F.array_distinct(X.english(X.normalise(F.col("text"), fold))).alias("q_words"))
@@ -328,13 +328,13 @@ def lateralize(cands: DataFrame, q: DataFrame, concepts: DataFrame, scores: Data
 
 
 # --- finish --------------------------------------------------------------------
-def negation(q: DataFrame, fold: bool = False) -> DataFrame:
+def negation(q: DataFrame, fold: bool = True) -> DataFrame:
     t = X.normalise(F.col("text"), fold)
     flat = F.regexp_replace(t, r"\s+", "")
     return q.select("qid", F.when(flat.rlike(f"[{V.CJK}]"), flat).alias("neg_zh"), X.english(t).alias("neg_en"), F.lower("text").rlike(V.PREGNANCY).alias("pregnant"))
 
 
-def demoted(cands: DataFrame, q: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
+def demoted(cands: DataFrame, q: DataFrame, ix: Index, fold: bool = True) -> DataFrame:
     """Final scores: headings, manifestations, negated titles and obstetric codes sink;
     codes typed as such stay."""
     j = cands.join(negation(q, fold), "qid").join(ix.codes.select("code", "zh", "en", "use", "elsewhere", "zh_flat", "without_words"), "code")
@@ -351,7 +351,7 @@ def demoted(cands: DataFrame, q: DataFrame, ix: Index, fold: bool = False) -> Da
     return j.withColumn("score", F.when(F.col("kind") == "code", F.col("s")).otherwise(F.col("s") * m)).select("qid", "code", "zh", "en", "use", "score", "atm", "def", "kind")
 
 
-def explain(rows: DataFrame, q: DataFrame, ix: Index, fold: bool = False) -> DataFrame:
+def explain(rows: DataFrame, q: DataFrame, ix: Index, fold: bool = True) -> DataFrame:
     """rows with the field that shows most of the query's words; titles win ties."""
     asked = q.select("qid", F.array_distinct(X.tokens(X.normalise(F.col("text"), fold))).alias("want"))
     top = rows.select("qid", "code", "zh", "en")
@@ -364,11 +364,11 @@ def explain(rows: DataFrame, q: DataFrame, ix: Index, fold: bool = False) -> Dat
     return rows.join(found, ["qid", "code"], "left")
 
 
-def search(queries: DataFrame, ix: Index, limit: int = V.LIMIT, fold: bool = False, scope: str = "cm") -> DataFrame:
+def search(queries: DataFrame, ix: Index, limit: int = V.LIMIT, fold: bool = True, scope: str = "cm") -> DataFrame:
     """queries(qid, raw) to ranked (qid, rank, code, zh, en, use, score, atm, def, kind, why)."""
     spark = queries.sparkSession
     keep = lambda df, name: stage(spark, df, f"search-{name}")  # noqa: E731  used by several later steps
-    q = queries.select("qid", R.parsed("raw").alias("p")).select("qid", "p.text", "p.codes", "p.neg", (~F.col("p.noexp")).alias("explode"), F.col("p.code").alias("codes_only"))
+    q = queries.select("qid", R.parsed(F.col("raw"), scope).alias("p")).select("qid", "p.text", "p.codes", "p.neg", (~F.col("p.noexp")).alias("explode"), F.col("p.code").alias("codes_only"))
     q = keep(q, "queries")
     typed = code_hits(q, ix.codes)
     words = corrected(q.where("text <> '' and not codes_only"), ix, fold).withColumn("side", R.side("text"))

@@ -23,7 +23,16 @@ def newly_seen(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def encode_notes(rows: DataFrame, note: str, order: str) -> DataFrame:
-    """rows with a dictionary number per distinct note, by first appearance."""
+    """rows with a dictionary number per distinct note, by first appearance. Notes are
+    dealt by ranges of their first appearance; a range's numbers begin where the ranges
+    before it end, so no task sees all of them."""
     firsts = rows.groupBy(note).agg(F.min(order).alias("_first"))
-    ids = firsts.withColumn("note_id", F.row_number().over(Window.orderBy("_first")) - 1)  # the dictionary: one row per distinct note
-    return rows.join(ids.select(note, "note_id"), note, "left")
+    spread = firsts.repartitionByRange("_first").sortWithinPartitions("_first").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)).checkpoint()
+    sizes = spread.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # a row per partition
+    start, before = [], 0
+    for r in sizes:
+        start += [F.lit(r["_p"]), F.lit(before)]
+        before += r["n"]
+    base = F.create_map(*start)[F.col("_p")] if start else F.lit(0)
+    ids = spread.select(note, (F.col("_i") + base).cast("int").alias("note_id"))
+    return rows.join(ids, note, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import codes as C, rules as R, text as X
+from ..functions import codes as C, rules as R, text as X, values as V
 from . import notes as N
 from .hierarchy import ancestors, parents, prefix_join, top_rows
 from .index import Index
@@ -71,3 +71,22 @@ def hash_sample(items: DataFrame, by: str, q: str, n: int) -> DataFrame:
 def linked(text: str = "text") -> Column:
     """Codes named in a text, in order, for links."""
     return F.regexp_extract_all(F.col(text), F.lit(f"({C.CODE})"), F.lit(1))
+
+
+def route(link: Column) -> Column:
+    """A link's view and decoded argument; unknown ones go home."""
+    path = F.regexp_replace(link, "^#?/?", "")
+    kind = F.substring_index(path, "/", 1)
+    views = F.create_map(*[F.lit(x) for pair in V.ROUTES.items() for x in pair])
+    view = F.coalesce(F.try_element_at(views, kind), F.lit("home"))
+    return F.struct(view.alias("view"), F.when(~view.isin(V.PLAIN_VIEWS), F.url_decode(F.regexp_replace(path, "^[^/]*/?", ""))).alias("arg"))
+
+
+def link(kind: Column, arg: Column) -> Column:
+    return F.concat(F.lit("#/"), kind, F.lit("/"), F.replace(F.url_encode(arg), F.lit("+"), F.lit("%20")))
+
+
+def label(kind: Column, labels: dict[str, str]) -> Column:
+    """What a kind is called; unknown ones are called what they are."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, kind), kind)

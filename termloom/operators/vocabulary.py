@@ -53,6 +53,13 @@ def glossary(terms: DataFrame, names: DataFrame) -> DataFrame:
     return a.join(b, "core").select("code", "zh", "core")
 
 
+def glossary_index(index: DataFrame, names: DataFrame) -> DataFrame:
+    """Main terms (term, code) of an index to a glossary's Chinese (en, zh), by the name."""
+    a = index.where("code is not null").select("code", F.lower(F.trim("term")).alias("core"))
+    b = names.select(F.lower(F.trim("en")).alias("core"), "zh")
+    return a.join(b, "core").select("code", "zh", "core")
+
+
 def see_targets(see: DataFrame, paths: DataFrame) -> DataFrame:
     """See-references (src, target path) to codes: the exact path, else one level up,
     else nothing; a path of several codes gives its common prefix."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import codes as C, rules as R, text as X
-from ..operators import facets as FA, hierarchy as H, views as VW
+from ..functions import codes as C, rules as R, text as X, values as V
+from ..operators import facets as FA, views as VW
 from ..operators.search import search
 from . import tables as T
 from .relational import CHAPTERS, NOTES, UP
-from .retrieval import part_index
+from .retrieval import part_index, search_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +41,10 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VW.hash_sample(p, "p_brand", "k", 5).select("p_brand", "p_partkey")
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part), l AS (SELECT *, list_max(list_transform(ws, lambda x: {'n': length(x), 'w': x})).w AS w FROM w),
+a AS (SELECT *, CAST(greatest(2, p_partkey % greatest(length(w) - 2, 1) + 2) AS INTEGER) AS i, (p_partkey >> 3) % 3 AS k FROM l),
+b AS (SELECT *, left(w, i - 1) AS head, substring(w, i, 1) AS here, substring(w, i + 1) AS tail FROM a)
+SELECT p_partkey, p_name, CASE WHEN length(w) < 4 THEN p_name ELSE array_to_string(list_transform(ws, lambda x: CASE WHEN x = w THEN CASE k WHEN 0 THEN head || tail WHEN 1 THEN head || left(tail, 1) || here || substring(tail, 2) ELSE head || here || here || tail END ELSE x END), ' ') END AS q FROM b""")
 def typo_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.read(spark, sf_dir, "part")
     return p.select("p_partkey", "p_name", R.typo(F.col("p_name"), F.col("p_partkey")).alias("q"))
@@ -71,22 +74,35 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", C.freshness(F.to_date("o_orderdate"), F.to_date(F.lit("1999-01-01"))).alias("f")).select("o_orderkey", "f.days", "f.stale")
 
 
-@query()
+PICK_SIDE = "CASE p_partkey % 3 WHEN 0 THEN 'left knee' WHEN 1 THEN 'right knee' ELSE 'knee, initial encounter' END"
+
+
+@query(f"""WITH p AS (SELECT p_brand AS cat, p_type || ' ' || {PICK_SIDE} AS en, p_size > 5 AS use FROM part), b AS (SELECT * FROM p WHERE use),
+f AS (SELECT cat, {", ".join("CASE " + " ".join(f"WHEN regexp_matches(en, '(?i){chr(92)}b{q}{chr(92)}b') THEN '{v}'" for q, v in V.FACETS[k]) + f" END AS f_{k}" for k in V.FACETS)} FROM b),
+k AS (SELECT cat, greatest({", ".join(f"count(DISTINCT f_{k})" for k in V.FACETS)}) AS most FROM f GROUP BY cat)
+SELECT cat, count(*) AS n FROM b JOIN k USING (cat) WHERE most >= 2 GROUP BY cat HAVING count(*) > 8""")
 def quick_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = F.array(*map(F.lit, ["left knee", "right knee", "knee, initial encounter"]))
-    c = T.codes(spark, sf_dir).withColumn("en", F.concat_ws(" ", "en", F.element_at(sides, (F.col("ord") % 3 + 1).cast("int")))).withColumn("cat", F.substring("code", 1, 1))
-    n = FA.quick_pick(c.withColumn("use", F.lit(1)), "cat")
-    return H.top_rows(n, ["cat"], [F.desc("n")], 1)
+    p = T.read(spark, sf_dir, "part").selectExpr("p_brand as cat", f"concat(p_type, ' ', {PICK_SIDE}) as en", "cast(p_size > 5 as int) as use")
+    return FA.quick_pick(p, "cat")
+
 
+LINES = "(VALUES (1, 'blue anvil'), (2, 'cold widget'), (3, 'B02.1'), (4, 'A00')) AS t(qid, raw)"
 
-@query()
+
+@query(f"""WITH found AS ({search_sql(LINES)}), lines AS (SELECT * FROM (VALUES (1, 1, 1, 'blue anvil', NULL), (2, 1, 2, 'cold widget', 'r/o'), (3, 1, 3, 'B02.1', NULL), (4, 2, 1, 'A00', NULL)) AS t(qid, batch, pos, raw, tag))
+SELECT batch, pos, raw, tag, code, score FROM lines LEFT JOIN (SELECT * FROM found WHERE rank = 1) USING (qid)""")
 def batch_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.sql("SELECT * FROM (VALUES (1, '1. blue anvil\n2) r/o cold widget; B02.1'), (2, 'Dx: A00')) AS t(batch, text)")
     picked, _, _ = VW.batch_coding(texts, part_index(spark, sf_dir), spark.sql(f"SELECT * FROM {NOTES}"))
     return picked
 
 
-@query()
+WANTED = "(VALUES (1, 'zzqqx wwkk'), (2, 'cold widget'), (3, 'A00')) AS t(qid, raw)"
+
+
+@query(f"""WITH found AS ({search_sql(WANTED)}), {T.CODES0}, first AS (SELECT qid, atm, lower(zh || ' ' || en) AS shown FROM found JOIN codes0 USING (code) WHERE rank = 1), w AS (SELECT qid, unnest(string_split(lower(raw), ' ')) AS w FROM {WANTED}),
+c AS (SELECT qid, sum(CASE WHEN contains(shown, CASE WHEN length(w) >= 6 THEN left(w, length(w) - 2) ELSE w END) THEN length(w) ELSE 0 END) / sum(length(w)) AS cov FROM w JOIN first USING (qid) GROUP BY qid)
+SELECT CAST(qid AS BIGINT) AS qid, raw FROM {WANTED} LEFT JOIN first USING (qid) LEFT JOIN c USING (qid) WHERE shown IS NULL OR (NOT atm AND cov < 0.5)""")
 def missed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.sql("SELECT * FROM (VALUES (1L, 'zzqqx wwkk'), (2L, 'cold widget'), (3L, 'A00')) AS t(qid, raw)")
     return VW.misses(asked, search(asked, part_index(spark, sf_dir), 5))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codes as C, rules as R, text as X, values as V
 from ..operators import crosswalk as W, evaluate as E, facets as FA, gates as G, hierarchy as H, notes as N, state as ST, vocabulary as VO
+from ..session import shared_dir
 from ..streaming import windows as SW
 from . import tables as T
 from .retrieval import TITLES
@@ -33,9 +33,7 @@ def code_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", C.canonical(F.col("raw")).alias("code"), C.dotted(F.col("raw")).alias("dotted"))
 
 
-UP = """up AS (SELECT code, regexp_replace(left(code, CAST(n AS INTEGER)), '\\.$', '') AS anc, length(code) - n AS d
-  FROM (SELECT code, unnest(generate_series(3, length(code))) AS n FROM codes0)),
-chain AS (SELECT DISTINCT code, anc FROM up)"""
+UP = T.UP
 
 
 @query(f"WITH {T.CODES0}, {UP}, near AS (SELECT code, max_by(anc, length(anc)) AS parent FROM chain WHERE anc <> code AND anc IN (SELECT code FROM codes0) GROUP BY code) SELECT c.code, parent FROM codes0 c LEFT JOIN near USING (code)")
@@ -141,9 +139,9 @@ def bridge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(li, "p_partkey").select("p_brand", "l_orderkey").distinct().join(o, "l_orderkey").select("p_brand", "o_orderpriority").distinct()
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def drop_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = T.read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return VO.drop_superseded(T.read(spark, sf_dir, "customer"), o, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
@@ -166,7 +164,9 @@ SEE = "(VALUES ('a', 'see also gear, steel'), ('b', 'gear, steel, large'), ('c',
 PATHS = "(VALUES ('gear, steel', 'A01.1'), ('gear, steel', 'A01.2'), ('bolt', 'B02')) AS t(path, code)"
 
 
-@query("SELECT * FROM (VALUES ('a', 'see also gear, steel', 'A01', 'node'), ('b', 'gear, steel, large', 'A01', 'ancestor'), ('c', 'nothing, at all', NULL, 'none'), ('d', 'see bolt', 'B02', 'node')) AS t(src, target, code, how)")
+@query(f"""WITH k AS (SELECT path, min(code) AS lo, max(code) AS hi FROM {PATHS} GROUP BY path), known AS (SELECT path, CASE WHEN lo = hi THEN lo ELSE regexp_replace(left(lo, CAST(list_max(list_filter(generate_series(1, length(lo)), lambda n: left(lo, CAST(n AS INTEGER)) = left(hi, CAST(n AS INTEGER)))) AS INTEGER)), '\\.$', '') END AS code FROM k),
+a AS (SELECT src, target, trim(regexp_replace(lower(target), '^see( also)?\\s+', '')) AS at_ FROM {SEE})
+SELECT src, target, coalesce(e.code, u.code) AS code, CASE WHEN e.code IS NOT NULL THEN 'node' WHEN u.code IS NOT NULL THEN 'ancestor' ELSE 'none' END AS how FROM a LEFT JOIN known e ON at_ = e.path LEFT JOIN known u ON regexp_replace(at_, ',[^,]*$', '') = u.path""")
 def see_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VO.see_targets(spark.sql(f"SELECT * FROM {SEE}"), spark.sql(f"SELECT * FROM {PATHS}"))
 
@@ -266,8 +266,11 @@ NOTES = """(VALUES ('E11', 'useAdd', 0, 'Use additional code to identify control
 _CODE = r"[A-Z][0-9][0-9A-Z](?:\.[0-9A-Z]{0,4})?"
 
 
-@query("""SELECT * FROM (VALUES ('insulin (Z79.4)', NULL, NULL, 'Z79.4'), ('oral antidiabetic drugs (Z79.84)', NULL, NULL, 'Z79.84'), ('type 1 diabetes (E10.-)', NULL, NULL, 'E10'), ('Use additional code to identify stage (N18.1-N18.6)', 'N18.1', 'N18.6', NULL),
-('Code first any associated: diabetes (E08.22, E09.22)', NULL, NULL, 'E08.22'), ('Code first any associated: diabetes (E08.22, E09.22)', NULL, NULL, 'E09.22'), ('gestational diabetes (O24.4-)', NULL, NULL, 'O24.4'), ('neoplasms (C00-C96)', 'C00', 'C96', NULL)) AS t(text, first, last, prefix)""")
+SPECS = f"""n AS (SELECT * FROM {NOTES}), inner_ AS (SELECT code, kind, pos, text, unnest(list_transform(string_split(regexp_extract(text, '\\(([^)]*)\\)', 1), ','), lambda x: trim(x))) AS x FROM n),
+specs AS (SELECT code, kind, pos, text, CASE WHEN regexp_matches(x, '-[A-Z]') THEN split_part(x, '-', 1) END AS first, CASE WHEN regexp_matches(x, '-[A-Z]') THEN split_part(x, '-', 2) END AS last, CASE WHEN NOT regexp_matches(x, '-[A-Z]') THEN regexp_replace(x, '\\.?-$', '') END AS prefix FROM inner_ WHERE regexp_matches(x, '^[A-Z][0-9][0-9A-Z]'))"""
+
+
+@query(f"WITH {SPECS} SELECT text, first, last, prefix FROM specs")
 def notes_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.sql(f"SELECT * FROM {NOTES}")
     return n.select("text", F.explode(C.specs(F.col("text"))).alias("s")).select("text", "s.first", "s.last", "s.prefix")
@@ -281,13 +284,18 @@ def picked_notes(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return p, N.merged(p.select("code").distinct(), spark.sql(f"SELECT * FROM {NOTES}"))
 
 
-@query("SELECT * FROM (VALUES (1, 'E11.9', 'E10.9', 'type 1 diabetes (E10.-)'), (3, 'C34.1', 'I10', 'neoplasms (C00-C96)')) AS t(batch, a, b, text)")
+MEETS = "(starts_with(b.code, coalesce(prefix, '~')) OR (b.code >= first AND (b.code <= last OR starts_with(b.code, last))))"
+
+
+@query(f"""WITH {SPECS}, p AS (SELECT * FROM {PICKED}) SELECT DISTINCT a.batch, CASE WHEN a.pos < b.pos THEN a.code ELSE b.code END AS a, CASE WHEN a.pos < b.pos THEN b.code ELSE a.code END AS b, text FROM p a JOIN (SELECT code AS of_code, kind, text, first, last, prefix FROM specs) s ON starts_with(a.code, of_code) AND kind = 'excl1' JOIN p b ON a.batch = b.batch AND a.code <> b.code AND {MEETS}""")
 def excludes_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.conflicts(*picked_notes(spark))
 
 
-@query("""SELECT * FROM (VALUES (1, 'E11.9', 'useAdd', 'Use additional code to identify control using：insulin (Z79.4)／oral antidiabetic drugs (Z79.84)', false), (2, 'E11.22', 'useAdd', 'Use additional code to identify stage (N18.1-N18.6)', true),
-(2, 'E11.22', 'useAdd', 'Use additional code to identify control using：insulin (Z79.4)／oral antidiabetic drugs (Z79.84)', false), (2, 'N18.30', 'codeFirst', 'Code first any associated: diabetes (E08.22, E09.22)', false)) AS t(batch, code, kind, text, met)""")
+@query(f"""WITH {SPECS}, p AS (SELECT * FROM {PICKED}), m AS (SELECT *, ends_with(text, ':') AND NOT contains(text, '(') AS head FROM n WHERE kind IN ('codeFirst', 'useAdd', 'codeAlso')),
+g AS (SELECT *, max(CASE WHEN head THEN pos END) OVER (PARTITION BY code, kind ORDER BY pos) AS h FROM m),
+r AS (SELECT code, kind, coalesce(h, pos) AS grp, CASE WHEN any_value(h) IS NULL THEN any_value(text) ELSE rtrim(max(CASE WHEN head THEN text END), ':') || '：' || string_agg(CASE WHEN NOT head THEN text END, '／' ORDER BY pos) END AS text, list(pos) AS poss FROM g GROUP BY code, kind, coalesce(h, pos) HAVING count(*) FILTER (WHERE NOT head) > 0)
+SELECT a.batch, a.code, r.kind, r.text, EXISTS (SELECT 1 FROM specs s JOIN p b ON b.batch = a.batch AND b.code <> a.code AND {MEETS} WHERE s.code = r.code AND s.kind = r.kind AND list_contains(poss, s.pos)) AS met FROM p a JOIN r ON starts_with(a.code, r.code)""")
 def reminder_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, notes = picked_notes(spark)
     return N.satisfied(p.select("batch", "code").join(N.reminders(notes), "code"), p).select("batch", "code", "kind", "text", "met")
@@ -320,7 +328,15 @@ def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATES = "(VALUES (1, '115/6/1', '115/6/1 and 112/12/31, again 115/6/1'), (2, '1150601', 'none'), (3, '20260601', '99/1/2'), (4, '9991231', ''), (5, '115/2/31', '115/13/1')) AS t(id, d, text)"
 
 
-@query("SELECT * FROM (VALUES (1, DATE '2026-06-01', '2023-12-31,2026-06-01'), (2, DATE '2026-06-01', ''), (3, DATE '2026-06-01', '2010-01-02'), (4, NULL, ''), (5, NULL, '')) AS t(id, day, days)")
+def _roc_sql(y: str, m: str, d: str, plus: int) -> str:
+    return f"try_cast(concat_ws('-', CAST({y} AS INTEGER) + {plus}, lpad({m}, 2, '0'), lpad({d}, 2, '0')) AS DATE)"
+
+
+_SLASHED = _roc_sql("split_part(x, '/', 1)", "split_part(x, '/', 2)", "split_part(x, '/', 3)", 1911)
+
+
+@query(f"""WITH t AS (SELECT *, d AS x FROM {DATES}) SELECT id, CASE WHEN d = '9991231' THEN NULL WHEN contains(d, '/') THEN {_SLASHED} WHEN length(d) = 7 THEN {_roc_sql("left(d, 3)", "substring(d, 4, 2)", "substring(d, 6, 2)", 1911)} ELSE {_roc_sql("left(d, 4)", "substring(d, 5, 2)", "substring(d, 7, 2)", 0)} END AS day,
+array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9]{{2,3}}/[0-9]{{1,2}}/[0-9]{{1,2}}'), lambda x: CAST({_SLASHED} AS VARCHAR)), lambda x: x IS NOT NULL))), ',') AS days FROM t""")
 def revision_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.sql(f"SELECT * FROM {DATES}")
     days = F.transform(C.revision_dates(F.col("text")), lambda d: d.cast("string"))
@@ -432,5 +448,4 @@ def stream_mru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="termloom-stream-")
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import rules as R, text as X, values as V
 from ..operators import evaluate as E, index as I, search as S
 from ..operators.hierarchy import top_rows
+from ..session import stage
 from . import tables as T
 
 QUERIES: dict = {}
@@ -20,30 +21,33 @@ ASKED = "(VALUES (1, 'The idiots and worthless trash'), (2, 'licensed under the
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, token): stemmed words of whole texts, stop words dropped."""
-    stops = F.array(*map(F.lit, V.STOP_WORDS))
-    raw = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    words = F.filter(raw, lambda w: ~F.array_contains(stops, w))
-    return T.read(spark, sf_dir, "documents").select("doc_id", F.explode(words).alias("w")).select("doc_id", X.stem(F.col("w")).alias("token"))
+    """(doc_id, token): stemmed words of whole texts, stop words dropped. Words are rows
+    before they are tested, because generated code does not reach into array functions."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    kept = T.read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where((F.col("w") != "") & ~F.col("w").isin(V.STOP_WORDS))
+    return kept.select("doc_id", X.stem(F.col("w")).alias("token"))
+
+
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token, w), written once: lengths, frequencies and postings all read it."""
+    return stage(spark, document_words(spark, sf_dir).groupBy("doc_id", "token").agg(F.count("*").cast("double").alias("w")), "document-counts")
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counts = document_words(spark, sf_dir).groupBy("doc_id", "token").agg(F.count("*").cast("double").alias("w"))
-    return I.weigh(counts, "doc_id")
+    return I.weigh(document_counts(spark, sf_dir), "doc_id")
 
 
 def document_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Asked queries' alternatives, live counts and BM25 scores over documents. Queries
-    are few and meet the word counts first, so only their words' postings are weighed."""
-    words = document_words(spark, sf_dir)
-    asked = spark.sql(f"SELECT CAST(qid AS BIGINT) AS qid, raw FROM {ASKED}").select("qid", F.posexplode(X.tokens(X.normalise(F.col("raw")))).alias("qi", "token"))
-    lens = words.groupBy("doc_id").agg(F.count("*").cast("double").alias("len"))
-    wanted = words.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
-    counts = wanted.groupBy("doc_id", "token").agg(F.count("*").cast("double").alias("w"))
+    are few and meet the counts first, so only their words' postings are weighed."""
+    counts = document_counts(spark, sf_dir)
+    asked = spark.sql(f"SELECT CAST(qid AS BIGINT) AS qid, raw FROM {ASKED}").select("qid", F.posexplode(X.tokens(X.normalise(F.col("raw"), False))).alias("qi", "token"))
+    lens = counts.groupBy("doc_id").agg(F.sum("w").alias("len"))
+    wanted = counts.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi")
     n, avg = lens.agg(F.count("*"), F.avg("len")).first()
     impact = F.col("w") * (V.K1 + 1) / (F.col("w") + V.K1 * (1 - V.B + V.B * F.col("len") / F.lit(float(avg or 1))))
-    postings = counts.join(lens, "doc_id").withColumn("impact", impact)
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
+    postings = wanted.join(lens, "doc_id").withColumn("impact", impact)
+    df = wanted.groupBy("token").agg(F.count("*").alias("df"))
     tokens = df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     alts = asked.join(tokens.select("token"), "token", "left_semi").withColumn("alt", F.col("token"))
     live = alts.groupBy("qid").agg(F.countDistinct("qi").alias("live"))
@@ -90,13 +94,13 @@ def coverage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {T.CODES0}, k AS (SELECT ord, code, {T.key_sql(T.normalise_sql('zh'))} AS key FROM codes0),
-q AS (SELECT ord AS qid, {T.key_sql(T.normalise_sql("reverse_name"))} AS key FROM (SELECT ord, array_to_string(list_reverse(string_split(zh, ' ')), ', ') AS reverse_name FROM codes0 WHERE ord % 10 = 0))
+q AS (SELECT ord AS qid, {T.key_sql(T.normalise_sql("reverse_name"))} AS key FROM (SELECT ord, array_to_string(list_reverse(string_split(zh, ' ')), ', ') AS reverse_name FROM codes0))
 SELECT qid, code, key FROM q JOIN k USING (key)""")
 def phrase_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.part_codes(spark, sf_dir)
     keys = c.select("code", X.phrase_key(X.normalise(F.col("zh"))).alias("key"))
     turned = F.array_join(F.reverse(F.split("zh", " ")), ", ")
-    asked = c.where("ord % 10 = 0").select(F.col("ord").alias("qid"), X.phrase_key(X.normalise(turned)).alias("key"))
+    asked = c.select(F.col("ord").alias("qid"), X.phrase_key(X.normalise(turned)).alias("key"))
     return asked.join(keys, "key").select("qid", "code", "key")
 
 
@@ -126,31 +130,31 @@ def zh_bigrams_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {HAN}").select("id", F.array_join(X.bigrams(F.col("run")), " ").alias("pairs"), F.array_join(X.gap_bigrams(F.col("run")), " ").alias("gaps"))
 
 
-@query()
+@query("""SELECT id, replace(replace(lower(regexp_replace(translate(s, 'ＡＢＣ　ｄｅｆ', 'ABC def'), '\\s+', ' ', 'g')), 'ﬁ', 'fi'), 'ß', 'ss') AS key FROM (VALUES (1, 'ＡＢＣ　ｄｅｆ'), (2, 'Straße  X'), (3, 'ﬁne')) AS t(id, s)""")
 def nfkc_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.sql("SELECT * FROM (VALUES (1, 'ＡＢＣ　ｄｅｆ'), (2, 'Straße  X'), (3, 'ﬁne')) AS t(id, s)")
     return t.select("id", X.dedup_key("s").alias("key"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, false), (2, true), (3, false), (4, true), (5, true)) AS t(id, kept)")  # what the code page holds is no SQL matter
 def cp950_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.sql("SELECT * FROM (VALUES (1, '锐', 'zh'), (2, '崎', 'zh'), (3, 'abc', 'zh-tw'), (4, '病', 'zh-tw'), (5, 'abc', 'en')) AS t(id, s, lang)")
     return t.select("id", X.traditional("s", "lang").alias("kept"))
 
 
-TYPOS = "(VALUES ('idiott'), ('wortless'), ('clwon'), ('licensee'), ('apachee'), ('moronn')) AS t(word)"
+TYPOS = "(VALUES ('idiott'), ('wortless'), ('clwon'), ('licensee'), ('apachee'), ('moronn'), ('permision'), ('liscenced'), ('restrictoins'), ('contributtors')) AS t(word)"
 
 
 @query(f"""WITH {DOC_WORDS}, asked AS (SELECT word, {T.stem_sql('word')} AS tok FROM {TYPOS}),
-unknown AS (SELECT DISTINCT * FROM asked WHERE length(word) >= 4 AND length(tok) < 9 AND tok NOT IN (SELECT token FROM tokens)),
-near AS (SELECT word, tok, token, df, least(damerau_levenshtein(tok, token), damerau_levenshtein(word, token)) AS d FROM unknown JOIN tokens ON left(tok, 1) = left(token, 1) AND abs(length(tok) - length(token)) <= 2),
+unknown AS (SELECT DISTINCT * FROM asked WHERE length(word) >= 4 AND tok NOT IN (SELECT token FROM tokens)),
+near AS (SELECT word, tok, token, df, least(damerau_levenshtein(tok, token), damerau_levenshtein(word, token)) AS d FROM unknown JOIN tokens ON left(tok, 1) = left(token, 1) AND abs(length(tok) - length(token)) <= 3),
 rated AS (SELECT *, row_number() OVER (PARTITION BY word, tok ORDER BY d,
   CASE WHEN regexp_matches(token, array_to_string(string_split(tok, ''), '.*')) OR regexp_matches(token, array_to_string(string_split(word, ''), '.*')) THEN 0 ELSE 1 END,
-  abs(length(token) - length(tok)), df DESC, token) AS r FROM near WHERE d <= 1)
+  abs(length(token) - length(tok)), df DESC, token) AS r FROM near WHERE d <= CASE WHEN length(tok) >= 9 THEN 2 ELSE 1 END)
 SELECT word, tok, token AS fix FROM rated WHERE r = 1""")
 def spellfix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, tokens = document_index(spark, sf_dir)
-    words = spark.sql(f"SELECT * FROM {TYPOS}").withColumn("tok", X.stem(F.col("word"))).where(F.length("tok") < 9)
+    words = spark.sql(f"SELECT * FROM {TYPOS}").withColumn("tok", X.stem(F.col("word")))
     return S.spellfix(words, tokens)
 
 
@@ -158,20 +162,88 @@ def part_index(spark: SparkSession, sf_dir: str) -> I.Index:
     return I.build(spark, T.codes(spark, sf_dir), T.terms(spark, sf_dir))
 
 
-SEARCHES = "(VALUES (1, 'blue anvil'), (2, 'A00'), (3, 'A00-B03'), (4, 'cold -widget'), (5, 'B02.1 nothing'), (6, 'left cold widget'), (7, 'blue anvli')) AS t(qid, raw)"
-
-
-@query()
+WEIGHT_SQL = "CASE src_id " + " ".join(f"WHEN {i} THEN {w}" for i, (_, w) in enumerate(V.SOURCES)) + " END"
+SEARCHES = "(VALUES (1, 'blue anvil'), (2, 'A00'), (3, 'A00-B03'), (4, 'cold -widget'), (5, 'B02.1 nothing'), (6, 'left cold widget'), (7, 'blue anvli'), (8, 'blue anvil cold widget'), (9, 'hot gear sma')) AS t(qid, raw)"
+
+
+#: The whole search in SQL, for texts without Chinese and codes without sides (as these are).
+SEARCH_SQL = f"""WITH RECURSIVE {T.CODES}, {T.TERMS}, {T.UP},
+near AS (SELECT code, max_by(anc, length(anc)) AS header FROM chain WHERE anc <> code AND anc IN (SELECT code FROM codes0) GROUP BY code),
+kid AS (SELECT header, c.code, c.ord, CASE WHEN c.code = header || CASE WHEN length(header) = 3 THEN '.9' ELSE '9' END AND use = 1 THEN 0 WHEN contains(lower(en), 'unspecified') THEN 1 END AS rate FROM near JOIN codes c USING (code)),
+defaults AS (SELECT header, min_by(code, (rate, length(code), ord)) AS child FROM kid WHERE rate IS NOT NULL GROUP BY header),
+weights AS (SELECT code, unnest(list_concat({T.words_sql(T.normalise_sql('zh'))}, {T.words_sql(T.normalise_sql('en'))})) AS token, 1.0::DOUBLE AS w FROM codes
+  UNION ALL SELECT code, unnest(list_distinct({T.words_sql(T.normalise_sql('text'))})), {{weight}} * {V.ENTRY_WEIGHT}::DOUBLE FROM terms),
+posts AS (SELECT token, code, sum(w) AS w FROM weights GROUP BY ALL), lens AS (SELECT code, sum(w) AS len FROM posts GROUP BY code), stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS av FROM lens),
+postings AS (SELECT token, code, w * {V.K1 + 1} / (w + {V.K1} * (1 - {V.B} + {V.B} * len / av)) AS impact FROM posts JOIN lens USING (code), stats),
+tokens AS (SELECT token, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posts, stats GROUP BY token),
+phrases AS (SELECT {T.key_sql(T.normalise_sql('zh'))} AS key, code, -1 AS src_id, 0 AS flags FROM codes UNION ALL SELECT {T.key_sql(T.normalise_sql('en'))}, code, -1, 0 FROM codes UNION ALL SELECT {T.key_sql(T.normalise_sql('text'))}, code, src_id, flags FROM terms),
+asked AS (SELECT qid, raw, list_filter(string_split(raw, ' '), lambda x: NOT starts_with(x, '-')) AS ws FROM {{asked}}),
+q AS (SELECT qid, regexp_full_match(raw, '{{code}}-{{code}}') AS rng, list_filter(ws, lambda x: regexp_full_match(x, '{{code}}')) AS cs, CASE WHEN regexp_full_match(raw, '{{code}}-{{code}}') THEN '' ELSE array_to_string(list_filter(ws, lambda x: NOT regexp_full_match(x, '{{code}}')), ' ') END AS text, raw FROM asked),
+neg AS (SELECT qid, unnest(list_transform(list_filter(string_split(raw, ' '), lambda x: starts_with(x, '-')), lambda x: {T.stem_sql('substring(x, 2)')})) AS token FROM asked),
+one AS (SELECT qid, unnest(cs) AS asked FROM q WHERE NOT rng),
+typed AS (SELECT qid, code, {V.CODE_EXACT}::DOUBLE AS s, 'code' AS kind FROM one JOIN codes ON code = asked
+  UNION ALL SELECT qid, code, {V.CODE_PREFIX} - length(code), 'code-prefix' FROM one JOIN codes ON starts_with(code, asked) AND code <> asked
+  UNION ALL SELECT qid, code, {V.CODE_RANGE}, 'code-range' FROM q JOIN codes ON rng AND code >= split_part(raw, '-', 1) AND (code <= split_part(raw, '-', 2) OR starts_with(code, split_part(raw, '-', 2)))),
+wd AS (SELECT qid, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM q WHERE text <> ''),
+tk AS (SELECT *, {T.stem_sql('word')} AS tok FROM wd),
+lost AS (SELECT DISTINCT word, tok FROM tk WHERE length(word) >= {V.FUZZY_MIN} AND tok NOT IN (SELECT token FROM tokens)),
+fixes AS (SELECT word, min_by(token, (d, abs(length(token) - length(tok)), -df, token)) AS fix FROM (SELECT *, least(damerau_levenshtein(tok, token), damerau_levenshtein(word, token)) AS d FROM lost JOIN tokens ON left(tok, 1) = left(token, 1)) WHERE d <= CASE WHEN length(tok) >= 9 THEN 2 ELSE 1 END GROUP BY word),
+said AS (SELECT qid, string_agg(coalesce(fix, word), ' ' ORDER BY pos) AS text FROM tk LEFT JOIN fixes USING (word) GROUP BY qid),
+words AS (SELECT qid, text, CASE WHEN {T.key_sql('text')} IN (SELECT key FROM phrases) THEN text ELSE trim(regexp_replace(text, '\\b(left|right)\\b', '', 'g')) END AS atm FROM said),
+keyed AS (SELECT *, {T.key_sql('atm')} AS key FROM words),
+whole AS (SELECT qid, 0 AS seg, atm AS seg_text, key, true AS mapped FROM keyed WHERE key IN (SELECT key FROM phrases)),
+cut AS (SELECT qid, string_split(atm, ' ') AS ws, 1 AS i, NULL::VARCHAR AS piece, false AS mapped FROM keyed WHERE key NOT IN (SELECT key FROM phrases)
+  UNION ALL SELECT qid, ws, i + coalesce(n, 1), array_to_string(ws[i : i + coalesce(n, 1) - 1], ' '), n IS NOT NULL FROM (
+    SELECT *, (SELECT max(k) FROM generate_series(1, {V.SPAN_WORDS}) AS g(k) WHERE i + k - 1 <= len(ws) AND {T.key_sql("array_to_string(ws[i : i + k - 1], ' ')")} IN (SELECT key FROM phrases)) AS n FROM cut WHERE i <= len(ws))),
+segs AS (SELECT qid, seg, seg_text, key, mapped, true AS is_whole FROM whole UNION ALL SELECT qid, i, piece, {T.key_sql('piece')}, mapped, false FROM cut WHERE piece IS NOT NULL),
+concepts AS (SELECT qid, seg, code, src_id, flags, CASE WHEN src_id < 0 THEN 1.0 ELSE {{weight}} END::DOUBLE AS w FROM segs JOIN phrases USING (key) WHERE mapped),
+roots AS (SELECT qid, seg, code, max(w) AS w FROM concepts GROUP BY ALL),
+sets AS (SELECT qid, seg, code, max(w) AS w, bool_or(node) AS node FROM (SELECT qid, seg, code, w * 2 AS w, true AS node FROM roots UNION ALL SELECT qid, seg, c.code, w, false FROM roots r JOIN codes c ON starts_with(c.code, r.code) AND c.code <> r.code) GROUP BY qid, seg, code),
+qt AS (SELECT qid, unnest({T.words_sql('text')}) AS token, generate_subscripts({T.words_sql('text')}, 1) AS pos, len({T.words_sql('text')}) AS n FROM words),
+grown AS (SELECT root, token AS alt FROM (SELECT root, token, row_number() OVER (PARTITION BY root ORDER BY token) AS k FROM (SELECT DISTINCT token AS root FROM qt WHERE pos = n AND length(token) >= {V.PREFIX_MIN} AND token NOT IN (SELECT token FROM tokens)) JOIN tokens ON starts_with(token, root)) WHERE k <= {V.PREFIX_MOST}),
+alts AS (SELECT qid, token, alt, dense_rank() OVER (PARTITION BY qid ORDER BY pos) - 1 AS qi FROM (SELECT qid, pos, token, token AS alt FROM qt WHERE token IN (SELECT token FROM tokens) UNION ALL SELECT qid, pos, token, alt FROM qt JOIN grown ON root = token AND pos = n)),
+live AS (SELECT qid, count(DISTINCT qi) AS live FROM alts GROUP BY qid),
+per AS (SELECT qid, code, qi, max(idf * impact) AS s FROM alts JOIN tokens ON tokens.token = alt JOIN postings ON postings.token = alt GROUP BY qid, code, qi),
+scores AS (SELECT qid, code, sum(s) AS score, count(*) AS hit, bit_or(1::BIGINT << CAST(qi AS INTEGER)) AS mask FROM per GROUP BY qid, code),
+is_whole AS (SELECT DISTINCT qid FROM segs WHERE is_whole),
+who AS (SELECT qid, code, bool_or(src_id IN ({", ".join(map(str, V.DIRECT_SOURCES))}) AND flags & 1 = 0) AS direct, bool_or(src_id < 0 AND flags & 1 = 0) AS title FROM concepts WHERE qid IN (FROM is_whole) GROUP BY qid, code),
+named AS (SELECT qid, code, CASE WHEN bool_or(direct) OVER (PARTITION BY qid) THEN direct ELSE title END AS named FROM who),
+mapping AS (SELECT s.qid, s.code, CASE WHEN node THEN {V.NODE} ELSE {V.EXPLODE} END * w + coalesce(score, 0) AS s, node, use, node AND use = 1 AND coalesce(named, false) AS def
+  FROM sets s JOIN codes c USING (code) LEFT JOIN scores x ON x.qid = s.qid AND x.code = s.code LEFT JOIN named n ON n.qid = s.qid AND n.code = s.code WHERE s.qid IN (FROM is_whole)),
+many AS (SELECT qid, count(*) AS n_segs, bool_and(mapped) AS all_mapped FROM segs GROUP BY qid HAVING count(*) > 1),
+bits AS (SELECT qid, token, max(qi) AS qi FROM alts GROUP BY ALL),
+need AS (SELECT qid, seg, bit_or(1::BIGINT << CAST(qi AS INTEGER)) AS m, greatest(1, ceil(count(*) * {V.SEGMENT_SHARE})) AS need FROM (SELECT qid, seg, unnest({T.words_sql('seg_text')}) AS token FROM segs SEMI JOIN many USING (qid)) JOIN bits USING (qid, token) GROUP BY ALL),
+held AS (SELECT x.qid, x.code, count(*) FILTER (WHERE w IS NOT NULL OR coalesce(bit_count(mask & m) >= need, false)) AS ok, any_value(n_segs) AS n_segs, coalesce(sum(w), 0) AS w, any_value(score) AS score, any_value(hit) AS hit, any_value(live) AS live
+  FROM scores x JOIN live USING (qid) JOIN (SELECT qid, seg, n_segs, m, need FROM segs JOIN many USING (qid) LEFT JOIN need USING (qid, seg)) t USING (qid) LEFT JOIN sets USING (qid, seg, code) GROUP BY x.qid, x.code),
+cands AS (SELECT qid, code, s, kind, false AS atm, false AS def FROM typed
+  UNION ALL SELECT qid, code, CASE WHEN def THEN s * {V.DIRECT_BONUS} ELSE s END, 'atm', true, def FROM mapping
+  UNION ALL SELECT qid, child, s * {V.DEFAULT_CHILD}, 'atm', true, true FROM mapping JOIN defaults ON code = header WHERE node AND use <> 1
+  UNION ALL SELECT qid, code, score * (hit / live) * (hit / live) + w * {V.SEGMENT_BONUS}, 'atm-seg', w > 0, false FROM held WHERE ok = n_segs
+  UNION ALL SELECT qid, code, sum(w) * {V.SEGMENT_BONUS * 2}, 'atm-and', true, false FROM sets JOIN many USING (qid) WHERE all_mapped GROUP BY qid, code, n_segs HAVING count(*) = n_segs
+  UNION ALL SELECT qid, code, score * (hit / live) * (hit / live), 'text', false, false FROM scores JOIN live USING (qid) WHERE hit / live >= {V.MIN_COVERAGE} OR live <= 1),
+merged AS (SELECT qid, code, max(s) AS s, max_by(kind, (s, kind)) AS kind, max_by(atm, (s, kind)) AS atm, bool_or(def) AS def FROM cands c
+  WHERE NOT EXISTS (SELECT 1 FROM neg JOIN posts USING (token) WHERE neg.qid = c.qid AND posts.code = c.code) GROUP BY qid, code),
+final AS (SELECT m.*, use, CASE WHEN kind = 'code' THEN s ELSE s * CASE WHEN use = 0 THEN {V.HEADER} ELSE 1 END * CASE WHEN starts_with(code, 'O') THEN {V.OBSTETRIC} ELSE 1 END END AS score FROM merged m JOIN codes USING (code)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, code) AS rank FROM final),
+shown AS (SELECT qid, code, list_distinct({T.words_sql("coalesce(w.text, '')")}) AS want FROM ranked LEFT JOIN words w USING (qid) WHERE rank <= 10),
+fields AS (SELECT code, unnest([zh, en]) AS text, unnest([0, 1]) AS ord, 0.0 AS less FROM codes UNION ALL SELECT code, text, ord + 2, 0.1 FROM terms),
+why AS (SELECT qid, code, max_by(text, (len(list_intersect(want, {T.words_sql(T.normalise_sql('text'))})) - less, -ord)) AS why FROM shown JOIN fields USING (code) GROUP BY qid, code)
+SELECT CAST(qid AS BIGINT) AS qid, CAST(rank AS INTEGER) AS rank, code, use, round(score, 2) AS score, atm, def, kind, why FROM ranked JOIN why USING (qid, code) WHERE rank <= 10"""
+
+
+def search_sql(asked: str) -> str:
+    """SEARCH_SQL for the queries ``asked``, a table (qid, raw)."""
+    return SEARCH_SQL.replace("{weight}", f"({WEIGHT_SQL})").replace("{asked}", asked).replace("{code}", "[A-Z][0-9][0-9A-Z](\\.[0-9A-Z]{1,4})?")
+
+
+@query(search_sql(SEARCHES))
 def full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.sql(f"SELECT CAST(qid AS BIGINT) AS qid, raw FROM {SEARCHES}")
     return S.search(asked, part_index(spark, sf_dir), 10).select("qid", "rank", "code", "use", "score", "atm", "def", "kind", F.col("why.text").alias("why"))
 
 
-WEIGHT_SQL = "CASE src_id " + " ".join(f"WHEN {i} THEN {w}" for i, (_, w) in enumerate(V.SOURCES)) + " END"
-
-
 @query(f"""WITH {T.CODES}, {T.TERMS}, k AS (SELECT code, src_id, {T.key_sql(T.normalise_sql('text'))} AS key FROM terms),
-q AS (SELECT ord AS qid, {T.key_sql(T.normalise_sql('zh'))} AS key FROM codes0 WHERE ord % 50 = 1),
+q AS (SELECT ord AS qid, {T.key_sql(T.normalise_sql('zh'))} AS key FROM codes0),
 hit AS (SELECT qid, code, max({WEIGHT_SQL}) AS w FROM q JOIN k USING (key) GROUP BY qid, code),
 cand AS (SELECT qid, code, 60 * 2 * w AS s, true AS node FROM hit
   UNION ALL SELECT qid, c.code, 25 * w, false FROM hit h JOIN codes c ON left(c.code, 3) = left(h.code, 3) AND starts_with(c.code, h.code) AND c.code <> h.code)
@@ -179,7 +251,7 @@ SELECT qid, code, round(CAST(max(s) AS DOUBLE), 4) AS s, bool_or(node) AS node F
 def whole_atm(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = T.codes(spark, sf_dir), T.terms(spark, sf_dir)
     keys = t.select("code", "src_id", X.phrase_key(X.normalise(F.col("text"))).alias("key"))
-    asked = c.where("ord % 50 = 1").select(F.col("ord").alias("qid"), X.phrase_key(X.normalise(F.col("zh"))).alias("key"))
+    asked = c.select(F.col("ord").alias("qid"), X.phrase_key(X.normalise(F.col("zh"))).alias("key"))
     hit = asked.join(keys, "key").groupBy("qid", "code").agg(F.max(I.source_weight(F.col("src_id"))).alias("w"))
     below = S.prefix_join(hit.withColumnRenamed("code", "root"), "root", c.select("code"), "code").where("code <> root")
     cand = hit.select("qid", "code", (F.col("w") * 2 * V.NODE).alias("s"), F.lit(True).alias("node")).union(below.select("qid", "code", F.col("w") * V.EXPLODE, F.lit(False)))
@@ -202,24 +274,14 @@ def demotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.demoted(cands, q, ix).select("code", F.round("score", 6).alias("score"))
 
 
-@query()
+# by the rules: side before a site, both sides are none; sites and hints as bits in the order of the fixed lists
+@query(f"""SELECT * FROM (VALUES (1, '{V.LEFT}', 'cellulitis of leg', 1, 0, 7, false, false, false), (2, '{V.RIGHT}', '膝退化性關節炎', 8, 0, 7, false, false, false), (3, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL),
+(4, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, '{V.LEFT}', '外耳炎', 4096, 0, 7, false, false, false), (6, '{V.RIGHT}', 'open fracture of distal radius', 0, 1, 5, false, true, false)) AS t(id, lat, strip, sites, hints, avoid, later, open, fbody)""")
 def side_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.sql("SELECT * FROM (VALUES (1, 'cellulitis of left leg'), (2, '右膝退化性關節炎'), (3, '左心室肥大'), (4, 'right knee and left hip pain'), (5, '左耳外耳炎'), (6, 'open fracture of right distal radius')) AS t(id, q)")
     return t.select("id", R.side("q").alias("s")).select("id", "s.*")
 
 
-@query()
-def query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql("SELECT * FROM (VALUES (1, 'qwxz怪皮病zz', '皮病'), (2, 'cellulitis of leg', 'Cellulitis of left lower limb'), (3, 'asthma', 'asthma'), (4, '', 'x')) AS t(id, q, target)")
-    return t.select("id", F.round(R.coverage("q", "target"), 6).alias("coverage"))
-
-
-@query()
-def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql("SELECT * FROM (VALUES (1, 'Cellulitis of left leg', 'left leg'), (2, '左膝退化性關節炎', '膝退化關節炎')) AS t(id, s, q)")
-    return t.select("id", F.explode(R.highlights("s", "q")).alias("h")).select("id", "h.start", "h.end")
-
-
 GOLD = "(VALUES (1, '10'), (2, '1*'), (3, '7'), (4, '2*'), (5, 'none')) AS t(qid, g)"
 RANKS = f"""{DOC_RANKED}, gold AS (SELECT * FROM {GOLD}),
 hits AS (SELECT r.qid, min(rank) AS hit_rank FROM ranked r JOIN gold USING (qid) WHERE rank <= 10 AND (CASE WHEN ends_with(g, '*') THEN starts_with(CAST(doc_id AS VARCHAR), left(g, length(g) - 1)) ELSE CAST(doc_id AS VARCHAR) = g END) GROUP BY r.qid),

@@ -65,6 +65,10 @@ CODES = (
 above AS (SELECT DISTINCT a.code FROM codes0 a JOIN codes0 b ON left(a.code, 3) = left(b.code, 3) AND a.code <> b.code AND starts_with(b.code, a.code)),
 codes AS (SELECT ord, code, zh, en, CASE WHEN code IN (SELECT code FROM above) THEN 0 ELSE 1 END AS use FROM codes0)"""
 )
+# each code with the prefixes above it
+UP = """up AS (SELECT code, regexp_replace(left(code, CAST(n AS INTEGER)), '\\.$', '') AS anc, length(code) - n AS d
+  FROM (SELECT code, unnest(generate_series(3, length(code))) AS n FROM codes0)),
+chain AS (SELECT DISTINCT code, anc FROM up)"""
 TERMS = "terms AS (SELECT zh AS text, code, p_size % 18 AS src_id, p_size % 4 AS flags, ord FROM codes0)"
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"

@@ -20,10 +20,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one the cluster names, else (in tests) a
-    temporary one."""
+    """The folder all executors share: the one the cluster names. Only a session on one
+    machine may do without; it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

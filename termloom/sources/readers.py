@@ -12,15 +12,15 @@ from pyspark.sql.types import StructType
 
 
 def csv_contract(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A CSV whose header must equal the schema's names; a byte-order mark is allowed,
-    bad rows and bad UTF-8 fail the read."""
-    first = spark.read.text(path).limit(1).collect()
-    names = (first[0][0] if first else "").lstrip("﻿").rstrip("\r").split(",")
-    got = [n.strip().strip('"') for n in names]
-    if got != schema.names:
-        raise ValueError(f"header {got} is not {schema.names}")
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="FAILFAST", encoding="UTF-8", multiLine=True)
-    return df
+    """A CSV file or a folder of them; every file's header must equal the schema's names.
+    A byte-order mark is allowed, bad rows and bad UTF-8 fail the read."""
+    heads = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    heads = heads.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))  # a row per file; a file's first block begins with its header
+    names = F.transform(F.split(F.regexp_replace(F.regexp_replace("head", "^\ufeff", ""), "\r$", ""), ","), lambda n: F.btrim(F.trim(n), F.lit('"')))
+    bad = heads.where(names != F.array(*map(F.lit, schema.names))).select("file", "head").head(1)
+    if bad:
+        raise ValueError(f"header {bad[0]['head']!r} of {bad[0]['file']} is not {schema.names}")
+    return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, mode="FAILFAST", encoding="UTF-8", multiLine=True)
 
 
 def strict_utf8(df: DataFrame, column: str) -> DataFrame:
@@ -28,21 +28,27 @@ def strict_utf8(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.validate_utf8(F.col(column).cast("string")))
 
 
+OPEN, CLOSE = "\ue000", "\ue001"  # private characters around a title's optional words
+
+
 def _walk(el: ET.Element, path: list[str], tags: dict[str, str]):
     title = el.find(tags["title"])
-    here = [*path, "".join(title.itertext()).strip()] if title is not None else path
+    if title is not None:
+        for optional in title.iter(tags["optional"]):
+            optional.text, optional.tail = OPEN + (optional.text or ""), CLOSE + (optional.tail or "")
+        path = [*path, "".join(title.itertext())]
     code, see = el.findtext(tags["code"]), el.findtext(tags["see"])
     if code or see:
-        yield here, code, see
+        yield path, code, see
     for child in el.findall(tags["child"]):
-        yield from _walk(child, here, tags)
+        yield from _walk(child, path, tags)
 
 
-def xml_terms(spark: SparkSession, path: str, main: str = "mainTerm", title: str = "title", code: str = "code", see: str = "see", child: str = "term") -> DataFrame:
-    """(path, code, see) of an index tree of any depth. The main elements are split by
-    the XML source's row tag on the JVM side when the tree is one level deep; deeper
-    trees are walked per file, streaming, and each main element is freed after use."""
-    tags = {"title": title, "code": code, "see": see, "child": child}
+def xml_terms(spark: SparkSession, path: str, main: str = "mainTerm", title: str = "title", code: str = "code", see: str = "see", child: str = "term", optional: str = "nemod") -> DataFrame:
+    """(path, code, see, nemod) of index trees of any depth; nemod is the last title's
+    non-essential modifiers, which no path shows. Files are the unit of work: each is
+    walked as a stream, and each main element is freed after use."""
+    tags = {"title": title, "code": code, "see": see, "child": child, "optional": optional}
 
     def walk(batches):
         for b in batches:
@@ -54,7 +60,11 @@ def xml_terms(spark: SparkSession, path: str, main: str = "mainTerm", title: str
                         el.clear()
                 yield pd.DataFrame(out, columns=["path", "code", "see"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(walk, "path array<string>, code string, see string")
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(walk, "path array<string>, code string, see string")
+    squeezed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    plain = F.transform("path", lambda t: squeezed(F.regexp_replace(t, f"{OPEN}[^{CLOSE}]*{CLOSE}", "")))
+    extra = F.transform(F.regexp_extract_all(F.element_at("path", -1), F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)), lambda t: F.btrim(t, F.lit(" ()")))
+    return rows.select(plain.alias("path"), "code", "see", F.array_join(extra, " ").alias("nemod"))
 
 
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: StructType, keep: DataFrame | None = None, key: str = "") -> DataFrame:

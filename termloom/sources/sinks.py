@@ -6,7 +6,7 @@ import gzip
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 from ..functions.codes import shard_key
 from ..operators.gates import fingerprint, require
@@ -61,6 +61,39 @@ def bundle(docs: DataFrame, path: str = "path", content: str = "content") -> Dat
     return docs.select(path, F.base64(gzipped(content)).alias("payload"))
 
 
+@F.pandas_udf(StringType())
+def gunzipped(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: gzip.decompress(x).decode(), na_action="ignore")
+
+
+def unbundle(packed: DataFrame, path: str = "path") -> DataFrame:
+    """(path, content) of a bundle."""
+    return packed.select(path, gunzipped(F.unbase64("payload")).alias("content"))
+
+
+def bundle_report(live: DataFrame, packed: DataFrame, manifest: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row: does the bundle hold what is live? manifest has one row (fingerprint,
+    files). Compared are the fingerprints of both, the manifest's, and the file counts."""
+    mark = lambda df: fingerprint(df.select(path, F.sha1(content).alias("sha")), path)
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    one = F.lit(1)
+    j = manifest.withColumn("k", one)
+    for part in (mark(live).withColumnRenamed("fingerprint", "of_live"), mark(unbundle(packed, path)).withColumnRenamed("fingerprint", "of_bundle"), count(live, "n_live"), count(packed, "n_bundle")):
+        j = j.join(part.withColumn("k", one), "k")
+    same = (F.col("of_live") == F.col("of_bundle")) & (F.col("fingerprint") == F.col("of_live"))
+    return j.select("of_live", "of_bundle", same.alias("same_data"), ((F.col("n_live") == F.col("n_bundle")) & (F.col("files") == F.col("n_live"))).alias("same_files"))
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in any store that Spark writes to."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def unsafe_tokens(df: DataFrame, content: str = "content") -> DataFrame:
     """Documents that would end or open a script inside a bundle."""
     return df.where(F.lower(content).rlike(r"</script|<!--|<script"))

@@ -116,12 +116,20 @@ def test_csv_contract(spark, tmp_path):
     (tmp_path / "b.csv").write_text("code,used\nL40,1\n")
     with pytest.raises(ValueError):
         readers.csv_contract(spark, f"{tmp_path}/b.csv", schema)
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    (folder / "1.csv").write_text("code,use\nL40,1\n")
+    (folder / "2.csv").write_text('"code","use"\r\nL41,2\r\n')
+    assert sorted(r.use for r in readers.csv_contract(spark, str(folder), schema).collect()) == [1, 2]
+    (folder / "3.csv").write_text("use,code\n3,L42\n")
+    with pytest.raises(ValueError, match="3.csv"):
+        readers.csv_contract(spark, str(folder), schema)
 
 
 def test_xml_terms(spark, tmp_path):
-    (tmp_path / "i.xml").write_text("<r><mainTerm><title>Gear</title><term><title>steel</title><code>A01</code><term><title>large</title><see>Bolt</see></term></term></mainTerm></r>")
+    (tmp_path / "i.xml").write_text("<r><mainTerm><title>Gear <nemod>(cast)</nemod> <nemod>(old)</nemod></title><code>A00</code><term><title>steel</title><code>A01</code><term><title>large</title><see>Bolt</see></term></term></mainTerm></r>")
     rows = sorted(map(tuple, readers.xml_terms(spark, f"{tmp_path}/i.xml").collect()))
-    assert rows == [(["Gear", "steel"], "A01", None), (["Gear", "steel", "large"], None, "Bolt")]
+    assert rows == [(["Gear"], "A00", None, "cast old"), (["Gear", "steel"], "A01", None, ""), (["Gear", "steel", "large"], None, "Bolt", "")]
 
 
 def test_obo(spark, tmp_path):

@@ -48,8 +48,6 @@ def test_tokens_of_mixed_text(spark):
 @pytest.mark.parametrize("raw, want", [("L400", "L40.0"), ("l40.0", "L40.0"), ("S72001A", "S72.001A"), ("C4A", "C4A"), ("9999", None), ("", None), (None, None)])
 def test_canonical(spark, raw, want):
     assert one(spark, raw, C.canonical) == want
-    if raw is not None:
-        assert R.canonical_code(raw) == want
 
 
 def test_lineage(spark):
@@ -89,15 +87,21 @@ def test_coverage():
     assert R.coverage_of("", "x") == 1
 
 
-def test_parse_query():
-    assert R.parse_query("696.1")["codes"][0]["kind"] == "icd9"
-    assert R.parse_query("E800")["codes"] == [{"kind": "cm", "code": "E80.0", "last": None}]
-    assert R.parse_query("9:E800.0")["codes"][0] == {"kind": "icd9", "code": "E800.0", "last": None}
-    assert R.parse_query("A00-B03.1")["codes"] == [{"kind": "range", "code": "A00", "last": "B03.1"}]
-    q = R.parse_query('asthma "status x" -acute [noexp]')
-    assert (q["text"], q["phrases"], q["neg"], q["noexp"]) == ("asthma status x", ["status x"], ["acute"], True)
-    assert R.parse_query("B31S010", "pcs")["codes"][0]["kind"] == "pcs"
-    assert R.parse_query(None)["text"] == ""
+def test_parsed(spark):
+    def ask(raw, scope="cm"):
+        return one(spark, raw, lambda c: R.parsed(c, scope)).asDict(recursive=True)
+
+    assert ask("696.1")["codes"][0]["kind"] == "icd9"
+    assert ask("E800")["codes"] == [{"kind": "cm", "code": "E80.0", "last": None}]
+    assert ask("9:E800.0")["codes"][0] == {"kind": "icd9", "code": "E800.0", "last": None}
+    assert ask("14: E800 pain")["codes"][0] == {"kind": "icd14", "code": "E80.0", "last": None}
+    assert ask("A00-B03.1")["codes"] == [{"kind": "range", "code": "A00", "last": "B03.1"}]
+    q = ask('asthma "status x" -acute [noexp]')
+    assert (q["text"], q["phrases"], q["neg"], q["noexp"], q["mh"]) == ("asthma status x", ["status x"], ["acute"], True, False)
+    assert ask("B31S010", "pcs")["codes"][0]["kind"] == "pcs"
+    q = ask("l40.0 of  knee - x")
+    assert (q["text"], q["codes"]) == ("of knee - x", [{"kind": "cm", "code": "L40.0", "last": None}])
+    assert ask(None)["text"] == "" and ask(None)["codes"] == []
 
 
 @pytest.mark.parametrize("raw, text, tag", [("1. Type 2 DM", "Type 2 DM", None), ("2) r/o cellulitis", "cellulitis", "r/o"), ("③ 異位性皮膚炎", "異位性皮膚炎", None), ("Dx: L400", "L400", None), ("s/p appendectomy", "appendectomy", "s/p")])
