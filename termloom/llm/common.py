@@ -14,18 +14,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
-GROUP_BYTES = 1 << 21  # bytes of text that one vectorised step works on
+GROUP_BYTES = 1 << 20  # bytes of text that one vectorised step works on
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let workers import this package, bound Arrow batches, and make sure of a
-    shared folder. ``spark.checkpoint.dir`` is used where the cluster names it."""
+    shared folder. ``spark.checkpoint.dir`` is used where the cluster names it; only a
+    session on one machine may do without."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    env.setdefault("MALLOC_ARENA_MAX", "2")  # workers give memory of one stage back before the next
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if not shared_dir(spark):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
     return spark
 
