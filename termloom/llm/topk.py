@@ -130,13 +130,13 @@ def _walks(row: dict, k: int, floors: np.ndarray | None):
     return q_ids, threshold_topk(ids, nos, vecs, q_nos, qs, k, floors)
 
 
-def _floors(k: int):
-    """Each query's kth score in one block, least if the block has fewer rows."""
+def _floors(k: int, block):
+    """Each query's kth score in one broadcast block, least if the block has fewer rows."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                got = [int(s[k - 1]) if len(s) >= k else np.iinfo(np.int64).min for _, _, s in _walks(row, k, None)[1]]
+                got = [int(s[k - 1]) if len(s) >= k else np.iinfo(np.int64).min for _, _, s in _walks(row | block.value, k, None)[1]]
                 yield pa.RecordBatch.from_arrays([pa.array([row["qb"]], pa.int64()), pa.array([np.array(got, np.int64).tobytes()], pa.binary())], ["qb", "floors"])
 
     return run
@@ -176,8 +176,11 @@ def exact_topk(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int
     asked = rows.where(is_query).coalesce(max(1, rows.where(is_query).count() // QUERIES)).mapInArrow(_pack(QUERIES), shape)
     asked = asked.select(F.monotonically_increasing_id().alias("qb"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "nos", "dims", "vals")))
     asked = table(spark, asked, "queries")
-    first = packed.limit(1).withColumn("one", F.lit(1))  # one block: BLOCK vectors
-    floors = asked.withColumn("one", F.lit(1)).join(F.broadcast(first), "one").mapInArrow(_floors(k), "qb long, floors binary")
+    first = packed.limit(1).collect()  # one block: BLOCK vectors
+    if not first:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    block = spark.sparkContext.broadcast(first[0].asDict())
+    floors = asked.mapInArrow(_floors(k, block), "qb long, floors binary")
     asked = table(spark, asked.join(floors, "qb"), "floors")
     # every vector block once per query block; the block numbers are 1 row per QUERIES queries
     numbers = F.lit([r.qb for r in asked.select("qb").collect()]).cast("array<long>")
