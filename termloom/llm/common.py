@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
-GROUP_BYTES = 1 << 20  # bytes of text that one vectorised step works on
+GROUP_BYTES = 1 << 18  # bytes of text that one vectorised step works on: its arrays stay small and near the cache
 
 
 def prepare(spark: SparkSession) -> SparkSession:
