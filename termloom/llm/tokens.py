@@ -17,9 +17,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from .common import GROUP_BYTES, LOWER, SPACE, groups, span_hashes, text_buffer
+from .common import LOWER, SPACE, groups, span_hashes, text_buffer
 
 CACHE_WORDS = 400_000  # chunks a worker keeps; beyond it starts afresh
+GROUP_BYTES = 1 << 20  # bytes of text in one step: a word is looked up once a step, so fewer are cheaper
 _S, _L, _D, _P, _G = range(5)
 
 
@@ -168,7 +169,7 @@ class Encoder:
         cuts = np.sort(np.concatenate([offs, np.array(more, np.int64)]), kind="stable")
         row_at = np.arange(len(offs)) + np.searchsorted(np.array(more, np.int64), offs)
         ids, at, base = [], [np.zeros(1, np.int64)], 0
-        for i, j in groups(cuts):
+        for i, j in groups(cuts, GROUP_BYTES):
             t, o = self._span(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
             ids.append(t)
             at.append(o[1:] + base)
