@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from termloom.operators import gates as G, index as I, search as S
-from termloom.operators.hierarchy import lca, prefix_join
+from termloom.operators.hierarchy import lca, pairs_by_key, prefix_join
+from termloom.plans import retrieval
 from termloom.sources import readers, sinks
 
 
@@ -158,3 +160,34 @@ def test_curated(spark, tmp_path):
 def test_bundle(spark):
     df = spark.createDataFrame([("a.json", "{}"), ("b.js", "x</script>")], "path string, content string")
     assert sinks.bundle(df).count() == 2 and sinks.unsafe_tokens(df).first().path == "b.js"
+
+
+def test_pairs_by_key_deals_by_pairs(spark):
+    left = spark.createDataFrame([("a" if i % 10 else "b", i) for i in range(400)] + [(None, 1), ("c", 2)], "k string, x int")
+    right = spark.createDataFrame([("a" if i % 10 else "b", i % 50) for i in range(300)] + [(None, 1), ("d", 2)], "k string, y int")
+    got = pairs_by_key(left, right, "k", 1000)
+    assert sorted(got.select("k", "x", "y").collect()) == sorted(left.join(right, "k").collect())
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) < 0.2 * sum(sizes)  # "a" has nearly all of the pairs
+
+
+def parts(spark, folder):
+    """Parts of few names, and an id that stands twice, with two names."""
+    rows = [(i, ["red bolt", "old ring"][i % 2], "T", i % 50) for i in range(600)] + [(7, "red bolt", "T", 3), (5000, None, "T", 4)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+
+
+def by_sql(name, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    return con.execute(retrieval.ORACLES[name])
+
+
+def test_whole_atm_merges_once_for_all_that_ask_the_same(spark, tmp_path):
+    parts(spark, tmp_path)
+    got = retrieval.whole_atm(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [qid" not in plan.replace("#", " ").split("Join")[0]  # no row of the result goes through an aggregate
+    rel = by_sql("whole_atm", tmp_path)
+    want = sorted((q, c, round(float(s), 4), n) for q, c, s, n in rel.fetchall())
+    assert sorted(map(tuple, got.collect())) == want
