@@ -58,10 +58,14 @@ def enrich(events: DataFrame, static: DataFrame, on: str) -> DataFrame:
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and stop; the result as a table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there and stop; the result as a table. Rows that are
+    only added go to files beside the checkpoint, since there are as many as events;
+    the other modes keep a row per group in the driver's memory."""
+    spark, out = df.sparkSession, f"{checkpoint}-rows"
+    w = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q = w.format("parquet").start(out) if mode == "append" else w.format("memory").start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(out) if mode == "append" else spark.table(name)

@@ -15,3 +15,15 @@ def test_enrich_joins_static(spark, tmp_path):
     e = W.read_events(spark, f"{tmp_path}/in", "e.parquet")
     static = spark.createDataFrame([("a", "alpha")], "event_type string, label string")
     assert W.drain(W.enrich(e, static, "event_type"), "enriched", "append", f"{tmp_path}/ck").first().label == "alpha"
+
+
+def test_appended_rows_go_to_files(spark, tmp_path):
+    """The memory sink keeps all rows in the driver."""
+    rows = "SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, 7L AS user_id, 'a' AS event_type, 1.0D AS value FROM range({})"
+    for name, n in (("some", 1000), ("none", 0)):
+        spark.sql(rows.format(n)).write.parquet(f"{tmp_path}/in/{name}.parquet")
+        e = W.read_events(spark, f"{tmp_path}/in", f"{name}.parquet")
+        out = W.drain(W.new_only(e.unionAll(e)), f"files_{name}", "append", f"{tmp_path}/{name}")
+        assert out.count() == n and out.columns == e.columns
+        assert "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert n == 0 or all(f.startswith(f"file://{tmp_path}/") for f in out.inputFiles())
