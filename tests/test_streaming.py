@@ -27,3 +27,14 @@ def test_appended_rows_go_to_files(spark, tmp_path):
         assert out.count() == n and out.columns == e.columns
         assert "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
         assert n == 0 or all(f.startswith(f"file://{tmp_path}/") for f in out.inputFiles())
+
+
+def test_enriched_rows_go_to_files(spark, tmp_path):
+    """Every row of the stream stays, with or without a match, and none in the driver."""
+    spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, id % 7 AS user_id, 'a' AS event_type, 1.0D AS value FROM range(1000)").write.parquet(f"{tmp_path}/in/e.parquet")
+    static = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "user_id long, label string")
+    e = W.read_events(spark, f"{tmp_path}/in", "e.parquet")
+    out = W.drain(W.enrich(e, static, "user_id").select("event_id", "label"), "enriched_files", "append", f"{tmp_path}/ck")
+    want = spark.range(1000).selectExpr("id AS event_id", "id % 7 AS user_id").join(static, "user_id", "left").select("event_id", "label")
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+    assert out.inputFiles() and "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
