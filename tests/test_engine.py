@@ -191,3 +191,10 @@ def test_whole_atm_merges_once_for_all_that_ask_the_same(spark, tmp_path):
     rel = by_sql("whole_atm", tmp_path)
     want = sorted((q, c, round(float(s), 4), n) for q, c, s, n in rel.fetchall())
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_phrase_key_match_deals_by_pairs(spark, tmp_path):
+    parts(spark, tmp_path)
+    got = retrieval.phrase_key_match(spark, str(tmp_path))
+    assert "_g" in got._jdf.queryExecution().optimizedPlan().toString()  # few names: tasks are dealt by pairs, not by name
+    assert sorted(map(tuple, got.collect())) == sorted(by_sql("phrase_key_match", tmp_path).fetchall())
