@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -91,6 +92,48 @@ def test_hot_contexts_go_by_window(spark):
     assert sum(r[2] >= 120 for r in plain) == 29
 
 
+def test_only_contexts_that_share_a_side_are_open():
+    """Texts with a passage too short to be removed, but longer than an anchor's gram, have
+    keys in common and nothing for the merge; passages of SPAN bytes at any place have."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    states, short = {}, word(26)
+    for size in (26, 50):
+        shared = short if size == 26 else word(50)
+        texts = [word(rng.randint(0, 200)) + shared + word(rng.randint(0, 200)) for _ in range(40)]
+        t = pa.table({"doc_id": pa.array(range(40), pa.int64()), "th": pa.array(range(40), pa.int64()), "text": texts, "bucket": pa.array([0] * 40, pa.int64())})
+        sent = suffixdedup._send(1)(t)
+        states[size] = np.concatenate([np.frombuffer(x, np.uint8) for b in suffixdedup._meet(suffixdedup.HOT)(iter(sent.to_batches())) for x in b.column("states").to_pylist()])
+    assert (states[26] == suffixdedup.SETTLED).all()
+    assert (states[50] > suffixdedup.COPY).sum() >= 40
+
+
+@pytest.mark.parametrize("hot", [1, suffixdedup.HOT])
+def test_passages_of_every_length_at_every_place(spark, hot):
+    """Passages around SPAN bytes, at the texts' ends too, shift the anchor over all places."""
+    rng = random.Random(8)
+    word = lambda n, abc="abcdefgh ": "".join(rng.choice(abc) for _ in range(n))
+    source = word(4000)
+    texts = [(0, source)]
+    for d in range(1, 150):
+        n, a = rng.randint(40, 75), rng.randint(0, 3900)
+        texts.append((d, word(rng.choice([0, 3, 14, 15, 16, 29, 30, 31, 90])) + source[a : a + n] + word(rng.choice([0, 3, 14, 15, 16, 29, 30, 31, 90]))))
+    least: dict[str, int] = {}
+    for d, t in texts:
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    want = {}
+    for d, t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if least[t[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        want[d] = (int(gone.sum()), hashlib.sha256("".join(c for c, g in zip(t, gone) if not g).encode()).hexdigest())
+    got = suffixdedup.substring_dedup(spark, documents(spark, [(d, t, None, None) for d, t in texts]), hot=hot).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+    assert sum(n > 0 for n, _ in want.values()) > 80
+
+
 def test_repeated_matches_brute_force():
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))).encode() for _ in range(40)]
