@@ -53,8 +53,9 @@ def new_only(events: DataFrame, late: str = "2 days") -> DataFrame:
 
 
 def enrich(events: DataFrame, static: DataFrame, on: str) -> DataFrame:
-    """A stream joined with a static table."""
-    return events.join(static, on, "left")
+    """A stream joined with a static table; never by broadcast, since by the size of its
+    files Spark takes a table for small that fills the driver's memory."""
+    return events.join(static.hint("merge"), on, "left")
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

@@ -38,3 +38,12 @@ def test_enriched_rows_go_to_files(spark, tmp_path):
     want = spark.range(1000).selectExpr("id AS event_id", "id % 7 AS user_id").join(static, "user_id", "left").select("event_id", "label")
     assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
     assert out.inputFiles() and "MemoryPlan" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_enrich_does_not_broadcast(spark):
+    """The static table may be as large as the stream, however small its files are."""
+    events = spark.sql("SELECT id AS event_id, id % 7 AS user_id FROM range(100)")
+    static = spark.sql("SELECT * FROM VALUES (1L, 'x'), (2L, 'y'), (2L, 'z') AS t(user_id, label)")
+    out = W.enrich(events, static, "user_id")
+    assert out.count() == 114
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
