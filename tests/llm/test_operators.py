@@ -92,6 +92,20 @@ def test_hot_contexts_go_by_window(spark):
     assert sum(r[2] >= 120 for r in plain) == 29
 
 
+def test_texts_are_dealt_once(spark, tmp_path, monkeypatch):
+    """The steps that read whole texts share one exchange of them."""
+    monkeypatch.setattr(suffixdedup, "table", lambda spark, df, name: df, raising=False)
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = suffixdedup.op1_suffix_dedup(spark, str(tmp_path))
+    out.collect()
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    final, details = plan.split("== Initial Plan ==")
+    made = set(re.findall(r"\bExchange \((\d+)\)", final))
+    inputs = dict(re.findall(r"^\((\d+)\) Exchange\nInput \[\d+\]: (.*)$", details, re.M))
+    assert made and made <= set(inputs)
+    assert sum("text#" in inputs[n] for n in made) == 1
+
+
 def test_only_contexts_that_share_a_side_are_open():
     """Texts with a passage too short to be removed, but longer than an anchor's gram, have
     keys in common and nothing for the merge; passages of SPAN bytes at any place have."""
