@@ -198,3 +198,35 @@ def test_phrase_key_match_deals_by_pairs(spark, tmp_path):
     got = retrieval.phrase_key_match(spark, str(tmp_path))
     assert "_g" in got._jdf.queryExecution().optimizedPlan().toString()  # few names: tasks are dealt by pairs, not by name
     assert sorted(map(tuple, got.collect())) == sorted(by_sql("phrase_key_match", tmp_path).fetchall())
+
+
+def sent(df):
+    """Rows over all exchanges of a plan that has run."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        x = todo.pop()
+        kind = x.getClass().getSimpleName()
+        n += x.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        below = x.children()
+        todo += [x.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [x.plan()] if kind.endswith("QueryStageExec") else [below.apply(i) for i in range(below.size())]
+    return n
+
+
+def test_pairs_by_key_sends_blocks(spark):
+    left = spark.range(600).selectExpr("'a' as k", "id as x")
+    right = spark.range(600).selectExpr("'a' as k", "id as y", "if(id % 3 = 0, null, 'v') as z")
+    got = pairs_by_key(left, right, "k", 1024)
+    assert len({(r.x, r.y) for r in got.collect() if (r.z is None) == (r.y % 3 == 0)}) == 360_000
+    assert sent(got) < 3_000  # not each row to each of 352 groups
+
+
+def test_pairs_by_key_parts_equal_rows(spark):
+    left, right = spark.range(600).selectExpr("'a' as k", "1 as x"), spark.range(600).selectExpr("'a' as k", "2 as y")
+    sizes = pairs_by_key(left, right, "k", 1024).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 360_000 and max(sizes) < 36_000
+
+
+def test_pairs_by_key_of_several_slices(spark):
+    left, right = spark.range(40).selectExpr("id % 2 as k", "id as x"), spark.range(1700).selectExpr("id % 2 as k", "id as y")
+    got = pairs_by_key(left, right, "k", 1 << 20)  # 850 right rows in four slices
+    assert {tuple(r) for r in got.collect()} == {(y % 2, x, y) for y in range(1700) for x in range(y % 2, 40, 2)} and got.count() == 34_000
