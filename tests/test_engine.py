@@ -230,3 +230,14 @@ def test_pairs_by_key_of_several_slices(spark):
     left, right = spark.range(40).selectExpr("id % 2 as k", "id as x"), spark.range(1700).selectExpr("id % 2 as k", "id as y")
     got = pairs_by_key(left, right, "k", 1 << 20)  # 850 right rows in four slices
     assert {tuple(r) for r in got.collect()} == {(y % 2, x, y) for y in range(1700) for x in range(y % 2, 40, 2)} and got.count() == 34_000
+
+
+def test_whole_atm_looks_up_the_beginnings_of_codes(spark, tmp_path, monkeypatch):
+    parts(spark, tmp_path)
+    monkeypatch.setattr(retrieval.S, "prefix_join", None)  # it tries all codes of a stem with each other
+    ran = []
+    monkeypatch.setattr(retrieval, "pairs_by_key", lambda a, b, k: ran.append(pairs_by_key(a, b, k, 1024)) or ran[0])
+    got = retrieval.whole_atm(spark, str(tmp_path))
+    want = sorted((q, c, round(float(s), 4), n) for q, c, s, n in by_sql("whole_atm", tmp_path).fetchall())
+    assert sorted(map(tuple, got.collect())) == want
+    assert sent(ran[0]) < 10_000  # each candidate to a group of 32 queries, not to each group
